@@ -11,8 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 __all__ = ["read_table", "shared_dir", "cut_lineage", "fresh"]
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package from where the driver did.
+
+    On a cluster whose machines lack that folder, ship the package with ``--py-files``.
+    """
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if home not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (home, known) if x)
+
+
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """The Parquet table *name* under *base*."""
+    reach_workers(spark)
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
