@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import encoding, pii, quality, runs
+from chatloom.llm import encoding, mixing, packing, pii, quality, runs
 from chatloom.session import read_table
 
 
@@ -33,6 +33,26 @@ def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(read_table(spark, d, "messages"), pii.name_model(read_table(spark, d, "contacts")))
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(read_table(spark, d, "documents"), read_table(spark, d, "containers"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers_used(p8_packed(spark, d))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.utilisation(p8_packed(spark, d), read_table(spark, d, "containers"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p9_mixture(spark, d), read_table(spark, d, "mix_targets"))
+
+
 def p10_types(spark: SparkSession, d: str) -> DataFrame:
     typed = quality.classify(read_table(spark, d, "documents"), read_table(spark, d, "common_words"))
     return typed.select("doc_id", "word_count", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "kind", "posterior")
@@ -42,5 +62,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_types(spark, d).where(F.col("kind") != "prose").select("doc_id", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p3_found, p3_runs, p6_found, p6_redacted, p10_found, p10_types)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p2_found, p2_repaired, p3_found, p3_runs, p6_found, p6_redacted, p8_packed, p8_containers, p8_report, p9_mixture, p9_shares,
+        p10_found, p10_types,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
