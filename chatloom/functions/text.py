@@ -49,7 +49,7 @@ def is_notice(sender: Column, content: Column) -> Column:
 
 def unix_seconds(text: Column) -> Column:
     """An instant from a string of whole seconds, else null."""
-    n = F.when(text.rlike(r"^[+-]?[0-9]+$"), text).try_cast("bigint")
+    n = F.when(text.rlike(r"^[+-]?[0-9]+\z"), text).try_cast("bigint")
     return F.when(n.between(-62_135_596_800, 253_402_300_799), F.timestamp_seconds(n))
 
 
@@ -59,13 +59,13 @@ def unix_millis(n: Column) -> Column:
 
 def rfc3339(text: Column) -> Column:
     """An instant from date, time and zone, all required; null without one of them."""
-    ok = text.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$")
+    ok = text.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})\z")
     return F.when(ok, F.upper(text)).try_cast("timestamp")
 
 
 def u64(text: Column) -> Column:
     """An unsigned 64-bit number from digits with an optional plus sign, else null."""
-    digits = F.regexp_replace(F.when(text.rlike(r"^\+?[0-9]+$"), text), r"^\+?0*(?=[0-9])", "")
+    digits = F.regexp_replace(F.when(text.rlike(r"^\+?[0-9]+\z"), text), r"^\+?0*(?=[0-9])", "")
     n = F.when(F.length(digits) <= 20, digits).try_cast("decimal(20,0)")
     return F.when(n <= F.lit(U64_MAX).cast("decimal(20,0)"), n)
 

@@ -47,27 +47,28 @@ def merge_consecutive(df: DataFrame, bucket: int = BUCKET) -> DataFrame:
     Defined cases: a null sender equals another null; null contents are skipped by the join; no rows, no rows; columns
     beyond the message's are the first row's.
     """
-    rest = [c for c in df.columns if c not in ("chat_id", "sender", "content")]
-    d = df.withColumn("__b", F.floor(F.col("seq") / bucket)).repartition("chat_id", "__b")
-    w = W.partitionBy("chat_id", "__b").orderBy("seq")
-    d = d.withColumns({"__i": F.row_number().over(w), "__p": F.lag("sender").over(w), "__z": F.lead("seq").over(w).isNull()})
-    d = d.withColumn("__cut", F.when((F.col("__i") > 1) & F.col("sender").eqNullSafe(F.col("__p")), 0).otherwise(1))
-    d = d.withColumn("__n", F.sum("__cut").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-
-    def glue(d: DataFrame, *by: str, order: str, first: Column, text: str, **more: Column) -> DataFrame:
-        parts = F.expr(f"listagg({text}, '\n') WITHIN GROUP (ORDER BY {order})")
-        return d.groupBy(*by).agg(F.min_by(first, F.col(order)).alias("__f"), parts.alias("__t"), F.min(order).alias("__s"), *[c.alias(k) for k, c in more.items()])
-
-    first = F.struct("sender", *rest)
-    runs = glue(d, "chat_id", "__b", "__n", order="seq", first=first, text="content", __edge=F.bool_or((F.col("__i") == 1) | F.col("__z")), __head=F.bool_or(F.col("__i") == 1))
-    runs = runs.withColumn("__g", F.when(~F.col("__edge"), F.col("__s")))
-    c = W.partitionBy("chat_id", "__g").orderBy("__s")
-    joins = F.col("__head") & F.col("__g").isNull() & (F.row_number().over(c) > 1) & F.col("__f.sender").eqNullSafe(F.lag("__f.sender").over(c))
-    runs = runs.withColumn("__cut", F.when(joins, 0).otherwise(1))
-    runs = runs.withColumn("__n", F.sum("__cut").over(c.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    out = glue(runs.withColumnRenamed("__s", "__o").withColumnRenamed("__f", "__f0"), "chat_id", "__g", "__n", order="__o", first=F.col("__f0"), text="__t")
-    pick = {"chat_id": F.col("chat_id"), "content": F.col("__t")}
-    return out.select(*[pick.get(c, F.col(f"__f.`{c}`")).alias(c) for c in df.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    d = df.select("chat_id", "seq", "sender", "content", row.alias("row")).withColumn("b", F.floor(F.col("seq") / bucket)).repartition("chat_id", "b")
+    w = W.partitionBy("chat_id", "b").orderBy("seq")
+    d = d.withColumns({"i": F.row_number().over(w), "p": F.lag("sender").over(w), "last": F.lead(F.lit(1)).over(w).isNull()})
+    d = d.withColumn("cut", F.when((F.col("i") > 1) & F.col("sender").eqNullSafe(F.col("p")), 0).otherwise(1))
+    d = d.withColumn("n", F.sum("cut").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    runs = d.groupBy("chat_id", "b", "n").agg(
+        F.min_by("row", "seq").alias("row"),
+        F.expr("listagg(content, '\n') WITHIN GROUP (ORDER BY seq)").alias("text"),
+        F.min("seq").alias("s"),
+        F.min_by("sender", "seq").alias("sender"),
+        F.bool_or(F.col("i") == 1).alias("head"),
+        F.bool_or("last").alias("tail"),
+    )
+    # Runs inside a bucket are groups of their own; those at its ends meet in one group per chat.
+    runs = runs.withColumn("g", F.when(~F.col("head") & ~F.col("tail"), F.col("s")))
+    c = W.partitionBy("chat_id", "g").orderBy("s")
+    joins = F.col("head") & F.col("g").isNull() & (F.row_number().over(c) > 1) & F.col("sender").eqNullSafe(F.lag("sender").over(c))
+    runs = runs.withColumn("cut", F.when(joins, 0).otherwise(1))
+    runs = runs.withColumn("n", F.sum("cut").over(c.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    out = runs.groupBy("chat_id", "g", "n").agg(F.min_by("row", "s").alias("row"), F.expr("listagg(text, '\n') WITHIN GROUP (ORDER BY s)").alias("text"))
+    return out.select(*[(F.col("text") if c == "content" else F.col(f"row.`{c}`")).alias(c) for c in df.columns])
 
 
 @dataclass(frozen=True)

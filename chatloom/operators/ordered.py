@@ -18,16 +18,16 @@ def running(df: DataFrame, key: str, order: str, value: Column, out: str, kind:
     """Adds *out*, the sum (or max) of *value* over the rows of *key* up to this one in *order* (*before*: without it).
 
     *order* is a whole number, unique within the key. Null values count as nothing; a sum over nothing is 0, a max
-    null. Columns ``__b``, ``__v``, ``__c`` are used in between and must not exist.
+    null. All columns stay, whatever their names; *out* is added, or replaces a column of its name.
     """
     f = F.sum if kind == "sum" else F.max
-    d = df.withColumn("__b", F.floor(F.col(order) / bucket)).withColumn("__v", value).repartition(key, "__b")
-    w = W.partitionBy(key, "__b").orderBy(order)
-    frame = w.rowsBetween(W.unboundedPreceding, -1 if before else W.currentRow)
-    d = d.withColumn("__c", f("__v").over(frame))
-    totals = d.groupBy(key, "__b").agg(f("__v").alias("__t"))
-    earlier = f("__t").over(W.partitionBy(key).orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
-    totals = totals.select(F.col(key).alias("__k"), F.col("__b").alias("__tb"), earlier.alias("__t"))
-    d = d.join(totals, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__b") == F.col("__tb")), "left")
-    value = F.coalesce(F.col("__c"), F.lit(0)) + F.coalesce(F.col("__t"), F.lit(0)) if kind == "sum" else F.greatest("__c", "__t")
-    return d.withColumn(out, value).drop("__b", "__v", "__c", "__k", "__tb", "__t")
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()]
+    d = df.select(F.struct(*kept).alias("row"), F.col(f"`{key}`").alias("k"), F.col(f"`{order}`").alias("o"), value.alias("v"))
+    d = d.withColumn("b", F.floor(F.col("o") / bucket)).repartition("k", "b")
+    w = W.partitionBy("k", "b").orderBy("o").rowsBetween(W.unboundedPreceding, -1 if before else W.currentRow)
+    d = d.withColumn("c", f("v").over(w))
+    earlier = f("t").over(W.partitionBy("k").orderBy("b").rowsBetween(W.unboundedPreceding, -1))
+    totals = d.groupBy("k", "b").agg(f("v").alias("t")).select(F.col("k").alias("tk"), F.col("b").alias("tb"), earlier.alias("t"))
+    d = d.join(totals, F.col("k").eqNullSafe(F.col("tk")) & F.col("b").eqNullSafe(F.col("tb")), "left")
+    got = F.coalesce("c", F.lit(0)) + F.coalesce("t", F.lit(0)) if kind == "sum" else F.greatest("c", "t")
+    return d.select("row.*", got.alias(out))

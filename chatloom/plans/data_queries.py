@@ -27,12 +27,13 @@ def _numbered(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_messages(spark: SparkSession, d: str) -> DataFrame:
     order = [F.col("batch_no"), F.col("received_at"), F.col("row_id")]
-    return dedup.deduplicate(read_table(spark, d, "messages"), ["chat_id", "id"], order)
+    m = dedup.deduplicate(read_table(spark, d, "messages"), ["chat_id", "id"], order)
+    return m.select("row_id", "chat_id", "seq", "sender", "content", F.unix_micros("timestamp").alias("timestamp_us"), F.col("id").cast("string").alias("id"), "batch_no")
 
 
 def p4_discord(spark: SparkSession, d: str) -> DataFrame:
     kept = dedup.deduplicate(_numbered(spark, d), ["chat_id", "id_number"], [F.col("batch_no"), F.col("rec_id")])
-    return kept.select("rec_id", "chat_id", "seq", "id_number", "content")
+    return kept.select("rec_id", "chat_id", "seq", F.col("id_number").cast("string").alias("id_number"), "content")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,3 +86,34 @@ QUERIES = {
         p7_found, p7_sessions,
     )
 }
+
+
+_NUMBER = "CASE WHEN regexp_full_match({0}, '\\+?[0-9]+') THEN TRY_CAST({0} AS HUGEINT) END"
+_CHILD = "SELECT rec_id, unnest(range(len({0}))) AS i, unnest({0}) AS e FROM discord_raw{1}"
+_TEXT = """WITH RECURSIVE n(rec_id, path, dewey, e) AS (
+SELECT rec_id, 'text[' || i || ']', [i], e FROM (SELECT rec_id, unnest(range(len(a))) AS i, unnest(a) AS e FROM (SELECT rec_id, CAST(CAST(text AS JSON) AS JSON[]) AS a FROM telegram_raw WHERE json_valid(text) AND json_type(text) = 'ARRAY'))
+UNION ALL
+SELECT rec_id, path || '.text[' || i || ']', list_append(dewey, i), e FROM (SELECT rec_id, path, dewey, unnest(range(len(a))) AS i, unnest(a) AS e FROM (SELECT rec_id, path, dewey, CAST(e -> '$.text' AS JSON[]) AS a FROM n WHERE json_type(e) = 'OBJECT' AND json_type(e, '$.text') = 'ARRAY')))
+"""
+_SESSIONS = """SELECT chat_id, sender, MIN(us) AS start_us, MAX(us) AS end_us, COUNT(*) AS n FROM (
+SELECT *, SUM(cut) OVER (PARTITION BY chat_id, sender ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS k FROM (
+SELECT *, CASE WHEN us - LAG(us) OVER (PARTITION BY chat_id, sender ORDER BY us, seq) <= 1800000000 THEN 0 ELSE 1 END AS cut FROM (
+SELECT DISTINCT chat_id, sender, seq, epoch_us(timestamp) AS us FROM messages WHERE timestamp IS NOT NULL AND chat_id IS NOT NULL AND trim(sender) <> ''))) GROUP BY chat_id, sender, k"""
+
+ORACLE_SQL = {
+    "p4_found": f"""SELECT 'messages' AS src, chat_id, CAST(id AS VARCHAR) AS id FROM messages WHERE id IS NOT NULL GROUP BY chat_id, id HAVING COUNT(*) > 1
+UNION ALL SELECT 'discord_raw' AS src, chat_id, CAST(n AS VARCHAR) AS id FROM (SELECT chat_id, {_NUMBER.format("id")} AS n FROM discord_raw) WHERE n IS NOT NULL GROUP BY chat_id, n HAVING COUNT(*) > 1""",
+    "p4_discord": f"""SELECT rec_id, chat_id, seq, n AS id_number, content FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY chat_id, n ORDER BY batch_no, rec_id) AS k FROM (SELECT *, {_NUMBER.format("id")} AS n FROM discord_raw)) WHERE n IS NULL OR k = 1""".replace("n AS id_number", "CAST(n AS VARCHAR) AS id_number"),
+    "p4_messages": "SELECT row_id, chat_id, seq, sender, content, epoch_us(timestamp) AS timestamp_us, CAST(id AS VARCHAR) AS id, batch_no FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY chat_id, id ORDER BY batch_no, received_at, row_id) AS k FROM messages) WHERE id IS NULL OR k = 1",
+    "p5_found": _TEXT + """SELECT 'telegram_raw' AS src, rec_id, path FROM n WHERE json_type(e) IN ('VARCHAR', 'OBJECT')
+UNION ALL SELECT 'discord_raw', rec_id, 'author' FROM discord_raw WHERE author IS NOT NULL
+UNION ALL SELECT 'discord_raw', rec_id, 'author.roles[' || i || ']' FROM (""" + _CHILD.format("author.roles", " WHERE author IS NOT NULL") + """) WHERE e IS NOT NULL
+UNION ALL SELECT 'discord_raw', rec_id, 'attachments[' || i || ']' FROM (""" + _CHILD.format("attachments", "") + """) WHERE e IS NOT NULL
+UNION ALL SELECT 'instagram_raw', rec_id, 'share' FROM instagram_raw WHERE share IS NOT NULL""",
+    "p5_authors": "SELECT rec_id, 'author' AS path, author.id AS author_id, author.name AS name, author.nickname AS nickname FROM discord_raw WHERE author IS NOT NULL",
+    "p5_roles": "SELECT rec_id, 'author.roles[' || i || ']' AS path, 'author' AS parent_path, CAST(i AS INTEGER) AS place, e.id AS role_id, e.name AS name FROM (" + _CHILD.format("author.roles", " WHERE author IS NOT NULL") + ") WHERE e IS NOT NULL",
+    "p5_attachments": "SELECT rec_id, 'attachments[' || i || ']' AS path, CAST(i AS INTEGER) AS place, e.id AS attachment_id, e.url AS url, e.fileName AS file_name, e.fileSizeBytes AS file_size FROM (" + _CHILD.format("attachments", "") + ") WHERE e IS NOT NULL",
+    "p5_shares": "SELECT rec_id, 'share' AS path, share.link AS link, share.share_text AS share_text FROM instagram_raw WHERE share IS NOT NULL",
+    "p7_found": f"SELECT chat_id, sender, start_us, end_us FROM ({_SESSIONS})",
+    "p7_sessions": f"SELECT chat_id, sender, start_us, end_us, end_us - start_us AS duration_us, n AS n_events FROM ({_SESSIONS})",
+}

@@ -24,8 +24,10 @@ def reach_workers(spark: SparkSession) -> None:
 
 
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """The Parquet table *name* under *base*."""
+    """The Parquet table *name* under *base*. Stamps are UTC everywhere, so the session is set to it."""
     reach_workers(spark)
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
