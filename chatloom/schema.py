@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +47,11 @@ def message(sender: Column, content: Column, timestamp: Column | None = None, id
 
 def from_rows(spark: SparkSession, rows: list[dict], chat_id: str = "chat") -> DataFrame:
     """Messages from dictionaries, in their order; absent fields are null, absent texts empty."""
-    data = [(r.get("chat_id", chat_id), i, r.get("sender", ""), r.get("content", ""), r.get("timestamp"), r.get("id"), r.get("reply_to"), r.get("edited")) for i, r in enumerate(rows)]
+    number = lambda x: None if x is None else Decimal(x)
+    data = [
+        (r.get("chat_id", chat_id), i, r.get("sender", ""), r.get("content", ""), r.get("timestamp"), number(r.get("id")), number(r.get("reply_to")), r.get("edited"))
+        for i, r in enumerate(rows)
+    ]
     return spark.createDataFrame(data, MESSAGE_SCHEMA)
 
 
