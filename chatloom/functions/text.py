@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,14 +40,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _literal(phrases: list[str]) -> str:
-    return "|".join(rf"\Q{p}\E" for p in phrases)
-
-
 def is_notice(sender: Column, content: Column) -> Column:
     """A system notice of WhatsApp by its phrases or its sender. Plain substrings: ``I left home`` is one, too."""
-    low = F.lower(sender)
-    return F.lower(content).rlike(_literal([p.lower() for p in NOTICES_EN])) | content.rlike(_literal(NOTICES_RU)) | ~not_blank(sender) | low.contains("whatsapp") | low.contains("system")
+    who, what = F.lower(sender), F.lower(content)
+    phrases = [what.contains(p.lower()) for p in NOTICES_EN] + [content.contains(p) for p in NOTICES_RU]
+    return reduce(or_, phrases) | ~not_blank(sender) | who.contains("whatsapp") | who.contains("system")
 
 
 def unix_seconds(text: Column) -> Column:

@@ -71,19 +71,25 @@ _REQUIRED = {
 
 
 def _records(df: DataFrame, platform: str, record: str, on_error: str, largest: int | None = None) -> DataFrame:
-    """``chat_id, pos, n, r``: the elements of ``messages``, each parsed on its own, so one bad record hurts no other."""
-    items = F.from_json("raw", "messages ARRAY<STRING>")["messages"]
-    if on_error == "fail":
-        items = F.when(items.isNotNull(), items).otherwise(F.raise_error(F.concat(F.lit(f"{platform}: no valid document with messages in "), "chat_id")))
-    # The outer form, as Spark would move a test of what the inner one explodes in front of other filters.
-    d = df.select("chat_id", items.alias("items")).select("chat_id", F.size("items").alias("n"), F.posexplode_outer("items").alias("pos", "item"))
-    d = d.where(F.col("item").isNotNull())
-    if largest is not None:
-        d = d.where(F.octet_length("item") <= largest)
-    good = F.col("item").rlike(r"^\s*\{") & F.try_parse_json("item").isNotNull()
-    d = d.withColumn("r", F.when(good, F.from_json("item", record)))
+    """``chat_id, pos, n, r``: the elements of ``messages``.
+
+    To fail, the document is parsed once, as a whole. To skip, it is parsed to the texts of its elements and each of
+    them on its own, so one bad record hurts no other and its size can be limited.
+    """
+    fail = on_error == "fail"
+    d = df.select("chat_id", F.from_json("raw", f"messages ARRAY<{record if fail else 'STRING'}>")["messages"].alias("items"))
+    if fail:
+        bad = F.raise_error(F.concat(F.lit(f"{platform}: no valid document with messages in "), "chat_id"))
+        d = d.withColumn("items", F.when(F.col("items").isNotNull(), F.col("items")).otherwise(bad))
+    # The outer form, as Spark would move a test of what the inner one explodes in front of other filters. The size is
+    # taken before: after it, every element's row would carry the whole array.
+    d = d.withColumn("n", F.size("items")).select("chat_id", "n", F.posexplode_outer("items").alias("pos", "r")).where(F.col("pos").isNotNull())
+    if not fail:
+        if largest is not None:
+            d = d.where(F.octet_length("r") <= largest)
+        d = d.withColumn("r", F.from_json("r", record))
     whole = F.col("r").isNotNull() & F.coalesce(_REQUIRED[platform](F.col("r")), F.lit(False))
-    if on_error == "fail":
+    if fail:
         return d.withColumn("r", F.when(whole, F.col("r")).otherwise(F.raise_error(F.concat(F.lit(f"{platform}: a malformed record in "), "chat_id"))))
     return d.where(whole)
 
@@ -190,13 +196,15 @@ def parse_whatsapp(df: DataFrame, config: WhatsAppConfig = WhatsAppConfig(), on_
         bad = F.raise_error(F.concat(F.lit("WhatsApp: unknown format of the export "), "chat_id"))
         formats = formats.withColumn("format", F.when(F.col("format").isNotNull(), F.col("format")).otherwise(bad.cast("string")))
     d = lines.join(formats, "chat_id").where(X.not_blank(F.col("line")) & F.col("format").isNotNull())
-    head = _by_format(lambda p: F.when(F.col("line").rlike(p), F.array(*[F.regexp_extract("line", p, i) for i in range(1, 5)])))
-    d = d.withColumn("h", head)
+    # One replacement gives all parts of a header line, marked; other lines stay as they are.
+    d = d.withColumn("h", _by_format(lambda p: F.regexp_replace("line", p + "$", "\u0001$1\u0001$2\u0001$3\u0001$4")))
+    d = d.withColumn("h", F.when(F.col("h").startswith("\u0001"), F.slice(F.split("h", "\u0001"), 2, 4)))
     sender, content = X.trim_all(F.col("h")[2]), F.col("h")[3]
     header = F.col("h").isNotNull()
     notice = header & X.is_notice(sender, content) if config.skip_system_messages and not stream else F.lit(False)
-    d = d.withColumn("__notice", F.coalesce(notice, F.lit(False))).where(~F.col("__notice"))
-    d = running(d, "chat_id", "line_no", F.col("h").isNotNull().cast("int"), "msg").where(F.col("msg") > 0)
+    d = d.withColumn("notice", F.coalesce(notice, F.lit(False)))
+    # Notices leave after the window only: a filter before it would be pushed down with all expressions inlined.
+    d = running(d, "chat_id", "line_no", (header & ~F.col("notice")).cast("int"), "msg").where((F.col("msg") > 0) & ~F.col("notice"))
     text = F.when(header, content).otherwise(X.trim_all(F.concat(F.lit("."), "line")).substr(F.lit(2), F.length("line")) if stream else F.col("line"))
     d = d.withColumn("__text", text)
     g = d.groupBy("chat_id", "msg").agg(

@@ -50,8 +50,10 @@ def test_bad_documents_and_records(spark):
             parse_strings(spark, bad, "tg").collect()
         assert parse_strings(spark, bad, "tg", on_error="skip").count() == 0
     text = '{"messages": [{"id": 1, "type": "message", "from": "A", "text": "x"}, {"id": 2, "from": "A", "text": "y"}, 7]}'
-    with pytest.raises(Exception, match="malformed record"):
+    with pytest.raises(Exception, match="no valid document"):
         parse_strings(spark, text, "tg").collect()
+    with pytest.raises(Exception, match="malformed record"):
+        parse_strings(spark, text.replace(", 7", ""), "tg").collect()
     assert rows(parse_strings(spark, text, "tg", profile="streaming"), "id") == [("1",)]
     assert rows(parse_strings(spark, tg({"id": 1, "text": "x" * 100}, {"id": 2, "text": "y"}), "tg", create_source("tg", streaming=True).config.with_(max_message_size=90), profile="streaming"), "id") == [("2",)]
 
