@@ -62,9 +62,10 @@ def _value(c: Column, text: bool) -> Column:
 
 def _lower_escapes(s: Column) -> Column:
     r"""``\u001F`` as ``\u001f``; only escapes of control characters have this form, and a text's own backslashes are doubled."""
+    out = s
     for c in "ABCDEF":
-        s = F.regexp_replace(s, rf"(?<!\\)((?:\\\\)*\\u00[01]){c}", f"$1{c.lower()}")
-    return s
+        out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*\\u00[01]){c}", f"$1{c.lower()}")
+    return F.when(s.contains("\\u00"), out).otherwise(s)
 
 
 def json_objects(df: DataFrame, config: OutputConfig = OutputConfig(), pretty: bool = False) -> DataFrame:
