@@ -90,6 +90,7 @@ def text_statistics(documents: DataFrame, common: DataFrame, text: str = "text",
             "__letters": F.length(F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}]+", "")),
             "__alpha": F.length(F.regexp_replace(t, r"[^\p{L}\p{M}]+", "")),
             "__solid": F.length(F.regexp_replace(t, r"[\s\p{Z}]+", "")),
+            "__dots": F.length(t) - F.length(F.regexp_replace(t, r"\.{4,}", "")),
             "__chars": F.length(t),
             "__hits": hits,
             "__lines": F.regexp_count(t, F.lit(r"(?m)^.*\S.*$")),
@@ -109,7 +110,7 @@ def text_statistics(documents: DataFrame, common: DataFrame, text: str = "text",
         F.when(F.col("word_count") > 0, F.least(F.lit(1.0), F.col("__hits") / F.col("word_count"))).alias("common_words"),
         F.col("__chars").alias("n_chars"),
         F.col("__lines").alias("n_lines"),
-        (F.col("__alpha") / F.greatest(F.col("__solid"), F.lit(1))).alias("letter_share"),
+        (F.col("__alpha") / F.greatest(F.col("__solid") - F.col("__dots"), F.lit(1))).alias("letter_share"),
         F.col("__distinct").alias("distinct_tokens"),
         F.col("__tokens").alias("n_tokens"),
         _share(t, _BULLET, whole).alias("bullet_share"),
