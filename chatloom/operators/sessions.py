@@ -51,12 +51,11 @@ def sessionize(df: DataFrame, keys: list[str], ts: str, gap_us: int = GAP_US, sl
     part = _islands(d.repartition(*names, "__slice"), [*k, F.col("__slice")], gap_us)
     part = part.groupBy(*names, "__slice", "__n").agg(F.min("__start").alias("__start"), F.max("__end").alias("__end"), F.sum("__events").alias("__events"))
     last = F.max("__n").over(W.partitionBy(*names, "__slice"))
-    part = part.withColumn("__edge", (F.col("__n") == 1) | (F.col("__n") == last)).select(*names, "__start", "__end", "__events", "__edge")
-
-    edge = _islands(part.where("__edge"), k, gap_us)
-    joined = edge.groupBy(*names, "__n").agg(F.min("__start").alias("__start"), F.max("__end").alias("__end"), F.sum("__events").alias("__events"))
-    cols = [*names, "__start", "__end", "__events"]
-    whole = part.where(~F.col("__edge")).select(*cols).unionByName(joined.select(*cols))
+    # Sessions inside a slice keep to themselves, as gaps part them already; those at its ends form one group per key.
+    edge = (F.col("__n") == 1) | (F.col("__n") == last)
+    part = part.withColumn("__group", F.when(~edge, F.col("__slice"))).select(*names, "__group", "__start", "__end", "__events")
+    joined = _islands(part, [*k, F.col("__group")], gap_us)
+    whole = joined.groupBy(*names, "__group", "__n").agg(F.min("__start").alias("__start"), F.max("__end").alias("__end"), F.sum("__events").alias("__events"))
     return whole.select(
         *[F.col(n).alias(key) for key, n in zip(keys, names)],
         F.col("__start").alias("start_us"),
