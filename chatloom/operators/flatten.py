@@ -26,12 +26,13 @@ def text_nodes(text: str | None) -> list[tuple]:
     """The nodes of one ``text`` value, parents first: strings and objects of the array, and of arrays ``text`` inside.
 
     Null, invalid JSON and anything but an array give none. Numbers, booleans, nulls and arrays directly inside an
-    array are no nodes but count as places. Nesting of any depth is walked with a stack.
+    array are no nodes but count as places. Nodes are walked with a stack; a text that nests deeper than Python's JSON
+    reader goes (thousands of levels) counts as invalid.
     """
     if text is None or not text.lstrip(" \t\r\n").startswith("["):
         return []
     try:
-        top = json.loads(text, parse_constant=_refuse)
+        top = json.loads(text, parse_constant=_refuse, parse_int=float)
     except (ValueError, RecursionError):
         return []
     out: list[tuple] = []
@@ -64,7 +65,7 @@ def telegram_text_table(raw: DataFrame) -> DataFrame:
 
     ``parent_path`` is null for children of the record itself and ``value`` the string, or an object's own ``text``
     where that is a string. Only texts that begin with a bracket reach Python, in Arrow batches, without other columns
-    than the record's id; nesting has no depth limit, which rules out a fixed stack of ``explode``.
+    than the record's id; nesting has no fixed depth, which rules out a fixed stack of ``explode``.
     """
     walk = F.pandas_udf(_batches, _NODE)
     hit = raw.where(F.col("text").rlike(r"^[ \t\r\n]*\[")).select("rec_id", walk("text").alias("n"))
