@@ -124,10 +124,9 @@ def collapse_runs(messages: DataFrame, near_cost: float = 0.25, penalty: float =
     m = messages.where(F.col("chat_id").isNotNull() & F.col("seq").isNotNull()).select(
         "chat_id", "seq", "sender", "content", F.unix_micros("timestamp").alias("us"), "batch_no", "row_id", F.floor(F.col("seq") / bucket).alias("__b")
     )
-    m = m.repartition("chat_id", "__b")
+    m = m.withColumn("__w", words_of(F.col("content"))).repartition("chat_id", "__b")
     copy = W.partitionBy("chat_id", "__b", "seq").orderBy("batch_no", "row_id")
     m = m.withColumn("__copy", F.row_number().over(copy)).where("__copy = 1").drop("__copy", "batch_no", "row_id")
-    m = m.withColumn("__w", words_of(F.col("content")))
     w = W.partitionBy("chat_id", "__b").orderBy("seq")
     m = m.withColumns({"__s0": F.lag("sender").over(w), "__w0": F.lag("__w").over(w), "__next": F.lead("seq").over(w), "__prev": F.lag("seq").over(w)})
     cost = _cost(F.col("sender"), F.col("__w"), F.col("__s0"), F.col("__w0"), near_cost)
@@ -137,7 +136,8 @@ def collapse_runs(messages: DataFrame, near_cost: float = 0.25, penalty: float =
     runs = m.groupBy("chat_id", "__b", "__run").agg(
         F.min("seq").alias("first_seq"),
         F.max("seq").alias("last_seq"),
-        F.min_by(F.struct("sender", "content"), "seq").alias("__first"),
+        F.min_by("sender", "seq").alias("sender"),
+        F.min_by("content", "seq").alias("content"),
         F.max(F.when(first_here, F.col("__w"))).alias("__head"),
         F.max(F.when(last_here, F.col("__w"))).alias("__tail"),
         F.bool_or(first_here | last_here).alias("__edge"),
@@ -148,12 +148,13 @@ def collapse_runs(messages: DataFrame, near_cost: float = 0.25, penalty: float =
     # Runs inside a bucket stay where they are (a group each); those at borders meet in one group per chat.
     runs = runs.withColumn("__g", F.when(~F.col("__edge"), F.col("first_seq")))
     c = W.partitionBy("chat_id", "__g").orderBy("first_seq")
-    before = F.lag(F.struct("__first.sender", "__tail")).over(c)
-    cost = _cost(F.col("__first.sender"), F.col("__head"), before["sender"], before["__tail"], near_cost)
-    runs = runs.withColumn("__join", F.when(F.col("__head").isNotNull() & before["__tail"].isNotNull() & (cost <= penalty), 0).otherwise(1))
+    sender0, tail0 = F.lag("sender").over(c), F.lag("__tail").over(c)
+    cost = _cost(F.col("sender"), F.col("__head"), sender0, tail0, near_cost)
+    runs = runs.withColumn("__join", F.when(F.col("__head").isNotNull() & tail0.isNotNull() & (cost <= penalty), 0).otherwise(1))
     runs = runs.withColumn("__n", F.sum("__join").over(c.rowsBetween(W.unboundedPreceding, W.currentRow)))
     out = runs.groupBy("chat_id", "__g", "__n").agg(
-        F.min_by("__first", "first_seq").alias("__first"),
+        F.min_by("sender", "first_seq").alias("sender"),
+        F.min_by("content", "first_seq").alias("content"),
         F.min("first_seq").alias("first_seq"),
         F.max("last_seq").alias("last_seq"),
         F.sum("n_events").alias("n_events"),
@@ -161,6 +162,6 @@ def collapse_runs(messages: DataFrame, near_cost: float = 0.25, penalty: float =
         F.max("end").alias("end_us"),
     )
     return out.select(
-        "chat_id", F.col("__first.sender").alias("sender"), "first_seq", "last_seq", F.col("__first.content").alias("content"), "n_events",
+        "chat_id", "sender", "first_seq", "last_seq", "content", "n_events",
         F.timestamp_micros("start_us").alias("start"), F.timestamp_micros("end_us").alias("end"), (F.col("end_us") - F.col("start_us")).alias("duration_us"),
     )
