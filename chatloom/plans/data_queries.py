@@ -48,7 +48,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_text(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.telegram_text_table(read_table(spark, d, "telegram_raw"))
+    return flatten.telegram_text_table(read_table(spark, d, "telegram_raw")).withColumn("dewey", F.array_join(F.col("dewey").cast("array<string>"), "."))
 
 
 def p5_authors(spark: SparkSession, d: str) -> DataFrame:
@@ -110,6 +110,10 @@ UNION ALL SELECT 'discord_raw', rec_id, 'author' FROM discord_raw WHERE author I
 UNION ALL SELECT 'discord_raw', rec_id, 'author.roles[' || i || ']' FROM (""" + _CHILD.format("author.roles", " WHERE author IS NOT NULL") + """) WHERE e IS NOT NULL
 UNION ALL SELECT 'discord_raw', rec_id, 'attachments[' || i || ']' FROM (""" + _CHILD.format("attachments", "") + """) WHERE e IS NOT NULL
 UNION ALL SELECT 'instagram_raw', rec_id, 'share' FROM instagram_raw WHERE share IS NOT NULL""",
+    "p5_text": _TEXT + """SELECT rec_id, path, CASE WHEN len(dewey) > 1 THEN regexp_replace(path, '\\.text\\[[0-9]+\\]$', '') END AS parent_path, CAST(dewey[len(dewey)] AS INTEGER) AS place,
+array_to_string(dewey, '.') AS dewey, CASE json_type(e) WHEN 'VARCHAR' THEN 'string' ELSE 'object' END AS kind, CASE WHEN json_type(e, '$.type') = 'VARCHAR' THEN e ->> '$.type' END AS type,
+CASE WHEN json_type(e) = 'VARCHAR' THEN e ->> '$' WHEN json_type(e, '$.text') = 'VARCHAR' THEN e ->> '$.text' END AS value, CASE WHEN json_type(e, '$.href') = 'VARCHAR' THEN e ->> '$.href' END AS href
+FROM n WHERE json_type(e) IN ('VARCHAR', 'OBJECT')""",
     "p5_authors": "SELECT rec_id, 'author' AS path, author.id AS author_id, author.name AS name, author.nickname AS nickname FROM discord_raw WHERE author IS NOT NULL",
     "p5_roles": "SELECT rec_id, 'author.roles[' || i || ']' AS path, 'author' AS parent_path, CAST(i AS INTEGER) AS place, e.id AS role_id, e.name AS name FROM (" + _CHILD.format("author.roles", " WHERE author IS NOT NULL") + ") WHERE e IS NOT NULL",
     "p5_attachments": "SELECT rec_id, 'attachments[' || i || ']' AS path, CAST(i AS INTEGER) AS place, e.id AS attachment_id, e.url AS url, e.fileName AS file_name, e.fileSizeBytes AS file_size FROM (" + _CHILD.format("attachments", "") + ") WHERE e IS NOT NULL",

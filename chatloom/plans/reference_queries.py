@@ -128,9 +128,16 @@ def s_stats(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumns({"compression_ratio": F.round("compression_ratio", 6), "merge_ratio": F.round("merge_ratio", 6)})
 
 
-@_query(None)
+@_query(
+    f"""WITH RECURSIVE r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY chat_id ORDER BY seq) AS i FROM {_EVENTS}), f AS (
+SELECT chat_id, i, timestamp_us AS start, 0 AS chunk_no FROM r WHERE i = 1 UNION ALL
+SELECT r.chat_id, r.i, CASE WHEN (r.timestamp_us - f.start) // 60000000 > 60 THEN r.timestamp_us ELSE f.start END, f.chunk_no + CASE WHEN (r.timestamp_us - f.start) // 60000000 > 60 THEN 1 ELSE 0 END
+FROM f JOIN r ON r.chat_id = f.chat_id AND r.i = f.i + 1)
+SELECT chat_id, CAST(chunk_no AS BIGINT) AS chunk_no, 'chunk_' || chunk_no AS id, STRING_AGG(coalesce(sender, '') || ': ' || coalesce(content, ''), chr(10) ORDER BY seq) AS text, ARG_MIN(sender, seq) AS sender,
+ARG_MIN(timestamp_us, seq) AS timestamp_us, CAST(COUNT(id) AS INTEGER) AS n_ids FROM f JOIN r USING (chat_id, i) GROUP BY chat_id, chunk_no"""
+)
 def c_chunk(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of an hour; the rule is sequential, so tests hold it against a plain loop."""
+    """Chunks of an hour."""
     c = M.chunk_by_time(_events(spark, d), 60)
     return c.select("chat_id", "chunk_no", "id", "text", "sender", F.unix_micros("timestamp").alias("timestamp_us"), F.size("message_ids").alias("n_ids"))
 
@@ -261,9 +268,15 @@ def src_whatsapp_stream(spark: SparkSession, d: str) -> DataFrame:
     return m.select("chat_id", "sender", "content", F.unix_micros("timestamp").alias("timestamp_us"))
 
 
-@_query(None)
+_WHITE = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]+"
+
+
+@_query(
+    f"""SELECT CAST(doc_id AS VARCHAR) AS chat_id, 'Alice' AS sender, regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '^{_WHITE}|{_WHITE}$', '', 'g') AS content, 1705314600000000 AS timestamp_us
+FROM documents WHERE text IS NOT NULL AND {_SOLID.format('text')}"""
+)
 def src_discord_txt(spark: SparkSession, d: str) -> DataFrame:
-    """Each document as an export of one message; the trimming of its ends has no short form in SQL."""
+    """Each document as an export of one message."""
     m = S.parse_discord_txt(_documents(spark, d, F.lit("[1/15/2024 10:30 AM] Alice\n")))
     return m.select("chat_id", "sender", "content", F.unix_micros("timestamp").alias("timestamp_us"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chatloom.functions.text import not_blank
+
 ID = T.DecimalType(20, 0)  # holds every unsigned 64-bit number
 
 #: The six fields of a message.
@@ -45,6 +47,16 @@ def message(sender: Column, content: Column, timestamp: Column | None = None, id
     )
 
 
+def is_empty() -> Column:
+    """Whether a message's content is blank."""
+    return ~not_blank(F.col("content"))
+
+
+def has_metadata() -> Column:
+    """Whether a message has any of time, identifier, reply and edit."""
+    return F.coalesce(F.col("timestamp").isNotNull() | F.col("id").isNotNull() | F.col("reply_to").isNotNull() | F.col("edited").isNotNull(), F.lit(False))
+
+
 def from_rows(spark: SparkSession, rows: list[dict], chat_id: str = "chat") -> DataFrame:
     """Messages from dictionaries, in their order; absent fields are null, absent texts empty."""
     number = lambda x: None if x is None else Decimal(x)
