@@ -61,7 +61,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     weights = {r.s: float(r.w or 0.0) for r in t}
     most = {r.s: int(r.m or 0) for r in t}
     d = with_tokens(documents, tokenizer).select("doc_id", source_name(F.col("source")).alias("source"), "n_tokens")
-    d = cut_lineage(d.where(F.col("source").isin(sorted(weights)) & (F.col("n_tokens") > 0)))
+    # The test of the tokens follows the write; before it, it would make Spark count them twice.
+    d = cut_lineage(d.where(F.col("source").isin(sorted(weights)))).where(F.col("n_tokens") > 0)
     d = d.withColumn("__h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("__b", F.pmod(F.col("__h"), F.lit(BUCKETS)))
     sizes = {r.source: r.n for r in d.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     got = water_fill(sizes, weights, most, total_tokens if total_tokens is not None else sum(sizes.values()))
