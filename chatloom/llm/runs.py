@@ -110,8 +110,8 @@ def best_segmentation(costs: list[float], penalty: float) -> list[int]:
 def collapse_runs(messages: DataFrame, near_cost: float = 0.25, penalty: float = 1.0, bucket: int = BUCKET) -> DataFrame:
     """``chat_id, sender, first_seq, last_seq, content, n_events, start, end, duration_us``: one row per run.
 
-    Neighbours are messages next to each other in ``seq`` within a chat, each ``seq`` counted once (its first
-    delivery) and missing numbers ignored; ``content`` is the first one's. A message that repeats nothing is a run of one.
+    Neighbours are messages next to each other in ``seq`` within a chat, each ``seq`` counted once (the least
+    edited copy, of these the first delivered) and missing numbers ignored; ``content`` is the first one's. A message that repeats nothing is a run of one.
 
     Chats are cut into buckets of *bucket* sequence numbers, so the largest chat is spread over many tasks; runs are
     formed inside a bucket, and only the first and last run of each bucket (whose outer contents are carried along)
@@ -122,11 +122,11 @@ def collapse_runs(messages: DataFrame, near_cost: float = 0.25, penalty: float =
     start, end and duration are over the others, or null); other columns are ignored.
     """
     m = messages.where(F.col("chat_id").isNotNull() & F.col("seq").isNotNull()).select(
-        "chat_id", "seq", "sender", "content", F.unix_micros("timestamp").alias("us"), "batch_no", "row_id", F.floor(F.col("seq") / bucket).alias("__b")
+        "chat_id", "seq", "sender", "content", F.unix_micros("timestamp").alias("us"), "edited", "batch_no", "row_id", F.floor(F.col("seq") / bucket).alias("__b")
     )
     m = m.withColumn("__w", words_of(F.col("content"))).repartition("chat_id", "__b")
-    copy = W.partitionBy("chat_id", "__b", "seq").orderBy("batch_no", "row_id")
-    m = m.withColumn("__copy", F.row_number().over(copy)).where("__copy = 1").drop("__copy", "batch_no", "row_id")
+    copy = W.partitionBy("chat_id", "__b", "seq").orderBy(F.col("edited").asc_nulls_first(), "batch_no", "row_id")
+    m = m.withColumn("__copy", F.row_number().over(copy)).where("__copy = 1").drop("__copy", "edited", "batch_no", "row_id")
     w = W.partitionBy("chat_id", "__b").orderBy("seq")
     m = m.withColumns({"__s0": F.lag("sender").over(w), "__w0": F.lag("__w").over(w), "__next": F.lead("seq").over(w), "__prev": F.lag("seq").over(w)})
     cost = _cost(F.col("sender"), F.col("__w"), F.col("__s0"), F.col("__w0"), near_cost)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chatloom.llm.pii import Finder, NameModel, found_items, name_model, redact
 from chatloom.llm.runs import best_segmentation, collapse_runs, same_words, words_of
 
-SCHEMA = "chat_id string, seq bigint, sender string, content string, timestamp timestamp, batch_no int, row_id bigint"
+SCHEMA = "chat_id string, seq bigint, sender string, content string, timestamp timestamp, edited timestamp, batch_no int, row_id bigint"
 T0 = dt.datetime(2024, 1, 1)
 
 
@@ -28,7 +28,7 @@ def test_same_words(spark):
 
 
 def rows_of(spark, events):
-    return spark.createDataFrame([(c, s, a, t, T0 + dt.timedelta(seconds=s) if s % 7 else None, 1, i) for i, (c, s, a, t) in enumerate(events)], SCHEMA)
+    return spark.createDataFrame([(c, s, a, t, T0 + dt.timedelta(seconds=s) if s % 7 else None, T0 if t == "edited copy" else None, 1, i) for i, (c, s, a, t) in enumerate(events)], SCHEMA)
 
 
 def runs_by_hand(events):
@@ -50,7 +50,7 @@ def test_runs_match_a_plain_loop(spark):
 
 
 def test_runs_edges(spark):
-    events = [("c", 1, "A", "x"), ("c", 1, "A", "other copy"), ("c", 5, "A", "X!"), (None, 2, "A", "x"), ("d", 1, "A", None), ("d", 2, "A", ""), ("d", 3, None, "q"), ("d", 4, None, "q")]
+    events = [("c", 1, "A", "edited copy"), ("c", 1, "A", "x"), ("c", 1, "A", "other copy"), ("c", 5, "A", "X!"), (None, 2, "A", "x"), ("d", 1, "A", None), ("d", 2, "A", ""), ("d", 3, None, "q"), ("d", 4, None, "q")]
     d = rows_of(spark, events).withColumns({"__w": F.lit(1), "__run": F.lit(2), "extra": F.lit(3)})
     got = sorted((x["chat_id"], x["first_seq"], x["last_seq"], x["n_events"], x["content"]) for x in collapse_runs(d).collect())
     assert got == [("c", 1, 5, 2, "x"), ("d", 1, 2, 2, None), ("d", 3, 3, 1, "q"), ("d", 4, 4, 1, "q")]
