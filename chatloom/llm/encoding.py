@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatloom.session import cut_lineage
+
 __all__ = ["Ciphers", "Language", "learn", "restore", "repair"]
 
 # Code pages that UTF-8 is commonly read as, and those that single-byte text is swapped between.
@@ -380,7 +382,7 @@ def repair(records: DataFrame, chats: DataFrame, columns: tuple[str, ...] = ("co
     rows each have one.
     """
     long = _long(records, chats, columns)
-    values = long.groupBy("source", "value").agg(F.count(F.lit(1)).alias("n"))
+    values = cut_lineage(long.groupBy("source", "value").agg(F.count(F.lit(1)).alias("n")))  # read once per round
     reader = learn(values)
     suspects = long.where(F.col("value").rlike(r"[^\x00-\x7F]")).select("rec_id", "field", "value", "source")
     return restore(suspects, reader).where(F.col("cipher").isNotNull()).drop("source")
