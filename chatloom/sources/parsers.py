@@ -136,7 +136,7 @@ def parse_discord_jsonl(df: DataFrame, config: DiscordConfig = DiscordConfig(),
 
 # ---- lines ------------------------------------------------------------------------------------------------------
 
-# Line grammar of WhatsApp exports in order of preference: date, time, sender, text.
+# The line grammar of WhatsApp exports in order of preference, with the groups date, time, sender, text.
 _T = r"\d{2}:\d{2}(?::\d{2})?"
 _REST = r"\s([^:]+):\s?(.*)"
 WHATSAPP_FORMATS = {
@@ -221,6 +221,7 @@ def parse_whatsapp(df: DataFrame, config: WhatsAppConfig = WhatsAppConfig(), on_
     return _messages(d, m, F.col("seq"))
 
 
+# Fixed value: the header line of Discord text exports, with the groups time and sender.
 _DISCORD_HEADER = r"(?d)^\[(\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{2}(?::\d{2})?\s*(?:AM|PM)?)\]\s+(.+)$"
 
 
