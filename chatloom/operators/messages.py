@@ -122,23 +122,22 @@ def project(df: DataFrame, config: OutputConfig = OutputConfig()) -> DataFrame:
 
 
 def _fold(window_minutes: int):
-    """Numbers the chunks of each stretch; rows come sorted by stretch and place, and only the open chunk is kept."""
-    limit = window_minutes
+    """The places where chunks begin; rows come sorted by stretch and place, and only the open chunk's start is kept."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, start, number = None, None, 0
+        key, start = None, None
         for d in parts:
-            starts = []
-            for k, s, us in zip(d["chat_id"], d["__stretch"], d["__us"]):
+            found = []
+            for k, s, seq, us in zip(d["chat_id"], d["stretch"], d["seq"], d["us"]):
                 us = None if pd.isna(us) else int(us)
                 if (k, s) != key:
-                    key, start, new = (k, s), us, True
-                elif us is not None and (start is None or int((us - start) / 60_000_000) > limit):
-                    start, new = us, True
+                    key, start = (k, s), us
+                elif us is not None and (start is None or int((us - start) / 60_000_000) > window_minutes):
+                    start = us
                 else:
-                    new = False
-                starts.append(new)
-            yield d.assign(__new=starts)
+                    continue
+                found.append((k, seq))
+            yield pd.DataFrame(found, columns=["start_chat", "start_seq"])
 
     return run
 
@@ -158,8 +157,12 @@ def chunk_by_time(df: DataFrame, window_minutes: int) -> DataFrame:
     minutes = ((F.col("__us") - F.col("__seen")) / 60_000_000).cast("bigint")
     sure = F.col("__us").isNotNull() & (F.col("__seen").isNull() | (minutes > window_minutes))
     d = running(d, "chat_id", "seq", F.when(sure, 1).otherwise(0), "__stretch")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields)
-    d = d.repartition("chat_id", "__stretch").sortWithinPartitions("chat_id", "__stretch", "seq").mapInPandas(_fold(window_minutes), f"{fields}, __new boolean")
+    # Python sees places and times only, and says where chunks begin.
+    lean = d.select("chat_id", F.col("__stretch").alias("stretch"), F.col("seq").cast("string").alias("seq"), F.col("__us").alias("us"), F.col("seq").alias("place"))
+    lean = lean.repartition("chat_id", "stretch").sortWithinPartitions("chat_id", "stretch", "place").drop("place")
+    starts = lean.mapInPandas(_fold(window_minutes), "start_chat string, start_seq string").withColumn("start_seq", F.col("start_seq").cast("bigint"))
+    d = d.join(starts, F.col("chat_id").eqNullSafe(F.col("start_chat")) & F.col("seq").eqNullSafe(F.col("start_seq")), "left")
+    d = d.withColumn("__new", F.col("start_seq").isNotNull()).drop("start_chat", "start_seq")
     d = running(d, "chat_id", "seq", F.col("__new").cast("int"), "chunk_no").withColumn("chunk_no", F.col("chunk_no") - 1)
     line = F.concat(F.coalesce("sender", F.lit("")), F.lit(": "), F.coalesce("content", F.lit("")))
     d = d.withColumn("__line", line)
