@@ -73,7 +73,17 @@ class Ciphers:
         for p, img in self.pages.items():
             cls = lambda lo, hi: "[" + "".join(re.escape(c) for c, b in img.items() if lo <= b <= hi) + "]"  # noqa: B023, E731
             cont = cls(0x80, 0xBF)
-            self.symbols[p] = re.compile(f"{cls(0xC2, 0xDF)}{cont}|{cls(0xE0, 0xEF)}{cont}{{2}}|{cls(0xF0, 0xF4)}{cont}{{3}}")
+            # The first two bytes of the letters in ALPHABETS; text of one script rarely holds what another's look like.
+            heads: dict[int, set[int]] = {}
+            for lo, hi in ALPHABETS:
+                for code in sorted({*range(lo, hi + 1, 64), hi}):
+                    head = chr(code).encode()[:2]
+                    heads.setdefault(head[0], set()).update([head[1]] if head[0] >= 0xE0 else range(0x80, 0xC0))
+            parts = []
+            for h, second in sorted(heads.items()):
+                body = "[" + "".join(re.escape(c) for c, b in img.items() if b in second) + "]"
+                parts.append(cls(h, h) + body + cont * (0 if h < 0xE0 else 1 if h < 0xF0 else 2))
+            self.symbols[p] = re.compile("|".join(parts))
         self.swaps: dict[str, dict[int, str]] = {}
         read_as = [*dict.fromkeys([*CYRILLIC_PAGES, *LATIN_PAGES])]
         for group in (CYRILLIC_PAGES, LATIN_PAGES):
@@ -156,6 +166,7 @@ class Language:
             self.left[a] += n
         self.total = sum(self.left.values()) or 1.0
         self._memo: dict[tuple[str, str], float] = {}
+        self._words: dict[str, float] = {}
 
     def log(self, a: str, b: str) -> float:
         key = (a, b)
@@ -168,9 +179,19 @@ class Language:
         return x
 
     def score(self, s: str) -> float:
-        s = " " + _fold(s) + " "
-        log = self.log
-        return sum(log(a, b) for a, b in zip(s, s[1:]))
+        """Log probability of a text: the sum over its words, whose scores are kept, as most words come again."""
+        total, memo = 0.0, self._words
+        for w in _fold(s).replace("\n", " ").split(" "):
+            if (x := memo.get(w)) is None:
+                x = self._word(w)
+                if len(memo) < 300_000 and len(w) < 40:
+                    memo[w] = x
+            total += x
+        return total
+
+    def _word(self, w: str) -> float:
+        log, w = self.log, f" {w} "
+        return sum(log(a, b) for a, b in zip(w, w[1:]))
 
     @staticmethod
     def count(s: str, into: Counter, weight: float = 1.0) -> None:
