@@ -405,5 +405,6 @@ def repair(records: DataFrame, chats: DataFrame, columns: tuple[str, ...] = ("co
     long = _long(records, chats, columns)
     values = cut_lineage(long.groupBy("source", "value").agg(F.count(F.lit(1)).alias("n")))  # read once per round
     reader = learn(values)
-    suspects = long.where(F.col("value").rlike(r"[^\x00-\x7F]")).select("rec_id", "field", "value", "source")
-    return restore(suspects, reader).where(F.col("cipher").isNotNull()).drop("source")
+    kind = dict(records.dtypes)["rec_id"]  # text on its way through Python, where numbers beside nulls would lose digits
+    suspects = long.where(F.col("value").rlike(r"[^\x00-\x7F]")).select(F.col("rec_id").cast("string").alias("rec_id"), "field", "value", "source")
+    return restore(suspects, reader).where(F.col("cipher").isNotNull()).drop("source").withColumn("rec_id", F.col("rec_id").cast(kind))

@@ -86,13 +86,15 @@ def pack(documents: DataFrame, containers: DataFrame, tokenizer: str = TOKENIZER
 
     Defined cases: null and empty texts are items of size 0; repeated texts are items of their own; equal sizes are
     taken in the order of their keys, so the result is the same each time; no documents, no rows. ``doc_id`` must be
-    unique; other columns are ignored. The capacity of attention cost is the square of the tokens'.
+    unique and may be null once; other columns are ignored. The capacity of attention cost is the square of the tokens'.
     """
-    sized = cut_lineage(with_tokens(documents, tokenizer).select("doc_id", "n_tokens"))
+    kind = dict(documents.dtypes)["doc_id"]
+    # Keys are text on their way through Python, where whole numbers beside nulls would become floating-point ones.
+    sized = cut_lineage(with_tokens(documents, tokenizer).select(F.col("doc_id").cast("string").alias("doc_id"), "n_tokens"))
     p = pieces(sized, containers)
     whole = F.col("token_end") - F.col("token_start") == F.col("capacity")
     keys = ["container_kind", "doc_id", "piece", "token_start", "token_end"]
-    full = p.where(whole).select(*keys, F.concat_ws("-", F.lit("d"), F.col("doc_id").cast("string"), F.col("piece").cast("string")).alias("container_id"))
+    full = p.where(whole).select(*keys, F.concat_ws("-", F.lit("d"), F.coalesce("doc_id", F.lit("")), F.col("piece").cast("string")).alias("container_id"))
     shards = max(1, -(-sized.count() // shard_items))
     rest = p.where(~whole).withColumn("shard", F.pmod(F.xxhash64("container_kind", "doc_id", "piece"), F.lit(shards)))
 
@@ -104,9 +106,9 @@ def pack(documents: DataFrame, containers: DataFrame, tokenizer: str = TOKENIZER
         ids = f"s{d['shard'].iloc[0]}-" + pd.Series(bins, index=d.index).astype(str)
         return d[keys].assign(container_id=ids)
 
-    schema = "container_kind string, doc_id bigint, piece int, token_start bigint, token_end bigint, container_id string"
+    schema = "container_kind string, doc_id string, piece int, token_start bigint, token_end bigint, container_id string"
     packed = rest.groupBy("container_kind", "shard").applyInPandas(run, schema)
-    return packed.unionByName(full).select("container_kind", "container_id", "doc_id", "piece", "token_start", "token_end")
+    return packed.unionByName(full).select("container_kind", "container_id", F.col("doc_id").cast(kind).alias("doc_id"), "piece", "token_start", "token_end")
 
 
 def containers_used(packed: DataFrame) -> DataFrame:

@@ -50,9 +50,10 @@ def test_correct_texts_stay(spark):
 
 def test_lost_bytes_are_found(spark):
     d, _ = table(spark)
-    more = spark.createDataFrame([(1000, "es", None, "HabÃ a 3 personas"), (1001, "es", None, "nubeâ��gris"), (1002, "ru", None, "Ð�Ð°Ñ�")], d.schema)
+    more = spark.createDataFrame([(1000, "es", None, "HabÃ a 3 personas"), (1001, "es", None, "nubeâ��gris"), (1002, "ru", None, "Ð�Ð°Ñ�"), (2**62 + 1, "ru", None, "Ð�Ð°Ñ�"), (None, "es", "x", None), (None, None, "cafÃ©", "")], d.schema)
     chats = spark.createDataFrame([("ru", "ru"), ("es", "es")], "chat_id string, lang string")
-    assert {r["rec_id"] for r in repair(d.unionByName(more), chats).where("rec_id >= 1000").collect()} == {1000, 1001, 1002}
+    found = repair(d.unionByName(more), chats).where("coalesce(rec_id, 1000) >= 1000").collect()
+    assert {(r["rec_id"], r["field"]) for r in found} == {(1000, "content"), (1001, "content"), (1002, "content"), (2**62 + 1, "content"), (None, "sender_name")}
 
 
 def test_ciphers_invert_themselves():

@@ -39,7 +39,7 @@ def docs(spark, n=300):
     r = random.Random(2)
     word = "lantern kettle ladder parcel archive".split()
     rows = [(i, " ".join(r.choice(word) for _ in range(r.choice([0, 3, 20, 90, 700]))), r.choice(["a", "A ", "b", "c", None])) for i in range(n)]
-    rows += [(n, None, "a"), (n + 1, "kettle " * 3000, "b"), (n + 2, "ha" * 20000, "c")]
+    rows += [(n, None, "a"), (2**62 + 1, "kettle " * 3000, "b"), (n + 2, "ha" * 20000, "c"), (None, "ladder " * 90, "c")]
     return spark.createDataFrame(rows, "doc_id bigint, text string, source string")
 
 
