@@ -8,7 +8,6 @@ agreements over all documents (no labels), and the posterior of the types is an
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
 from functools import reduce
 
 import numpy as np
@@ -17,32 +16,13 @@ from pyspark.sql import functions as F
 
 from chatloom.session import cut_lineage
 
-__all__ = ["text_statistics", "with_votes", "fit_votes", "text_types", "trie_pattern"]
+__all__ = ["text_statistics", "with_votes", "fit_votes", "text_types", "classify"]
 
 KINDS = ["prose", "list", "table", "junk"]
 _PROSE, _LIST, _TABLE, _JUNK = 1, 2, 3, 4
 
 
-def trie_pattern(words: Iterable[str]) -> str:
-    """A regular expression of whole words that shares prefixes, so a match needs no trial of every word."""
-    root: dict = {}
-    for w in words:
-        node = root
-        for c in w:
-            node = node.setdefault(c, {})
-        node[""] = {}
-
-    def walk(node: dict) -> str:
-        kids = [(("" if c.isalnum() else "\\") + c) + walk(n) for c, n in sorted(node.items()) if c]
-        if not kids:
-            return ""
-        body = "(?:" + "|".join(kids) + ")"
-        return body + "?" if "" in node else body
-
-    return r"(?<![\p{L}\p{N}])" + walk(root) + r"(?![\p{L}\p{N}])"
-
-
-_WORD = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}'’]*"
+_GAP = r"[^\p{L}\p{M}\p{N}'’]+"
 # Line shapes. A "short item" has at most seven words. Groups repeat a bounded number of times only: Java matches
 # repeated groups by recursion, and a line may have millions of words.
 _ITEM = r"(?:[^\s]+[ \t]+){0,6}[^\s]+"
@@ -71,32 +51,30 @@ def text_statistics(documents: DataFrame, common: DataFrame, text: str = "text",
     ``punctuated_lines`` (share of non-blank lines that end in a sentence mark), ``common_words`` (share of words
     that are common in the document's language; in any, where the language is unknown).
 
-    *common* is a fixed small table of words, read once to the driver for the pattern. Defined cases: null or empty
+    *common* is a fixed small table of words, read once to the driver for the condition. Defined cases: null or empty
     text has 0 words and null means and ratios; languages are compared trimmed and in lower case; texts of any length
     are read whole; other columns are ignored.
     """
-    words: dict[str, list[str]] = {}
+    known: dict[str, list[str]] = {}
     for r in common.select("lang", "word").dropna().distinct().collect():
-        words.setdefault(r[0], []).append(r[1].lower())
-    t, low = F.col("__t"), F.col("__low")
+        known.setdefault(r[0], []).append(r[1].lower())
+    t, words = F.col("__t"), F.col("__words")
     d = documents.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__t"), F.lower(F.trim(F.col(f"`{lang}`"))).alias("__lang"))
-    d = d.withColumn("__low", F.lower("__t"))
-    everything = trie_pattern({w for ws in words.values() for w in ws}) if words else r"(?!)"
-    hits = reduce(lambda c, kv: c.when(F.col("__lang") == kv[0], F.regexp_count(low, F.lit(trie_pattern(kv[1])))), words.items(), F.when(F.lit(False), F.lit(0)))
-    hits = hits.otherwise(F.regexp_count(low, F.lit(everything)))
+    # Joiners of emoji are marks, which words may hold; they go first.
+    d = d.withColumn("__low", F.translate(F.lower("__t"), "\ufe0f\u200d", ""))
+    d = d.withColumn("__words", F.array_remove(F.split("__low", _GAP), ""))
+    hits = lambda ws: F.size(F.filter(words, lambda w: w.isin(sorted(set(ws))))) if ws else F.lit(0)
+    found = reduce(lambda c, kv: c.when(F.col("__lang") == kv[0], hits(kv[1])), known.items(), F.when(F.lit(False), F.lit(0)))
+    d = d.withColumns({"word_count": F.size(words), "__joined": F.array_join(words, ""), "__hits": found.otherwise(hits([w for ws in known.values() for w in ws])), "__distinct": F.size(F.array_distinct(words))})
     d = d.withColumns(
         {
-            "word_count": F.regexp_count(t, F.lit(_WORD)),
-            "__letters": F.length(F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}]+", "")),
-            "__alpha": F.length(F.regexp_replace(t, r"[^\p{L}\p{M}]+", "")),
+            "__letters": F.length(F.translate("__joined", "'’", "")),
+            "__alpha": F.length(F.translate("__joined", "'’0123456789", "")),
             "__solid": F.length(F.regexp_replace(t, r"[\s\p{Z}]+", "")),
             "__dots": F.length(t) - F.length(F.regexp_replace(t, r"\.{4,}", "")),
             "__chars": F.length(t),
-            "__hits": hits,
             "__lines": F.regexp_count(t, F.lit(r"(?m)^.*\S.*$")),
             "__ended": F.regexp_count(t, F.lit(r"(?m)[.!?…。»”\"')][ \t]*$")),
-            "__distinct": F.size(F.array_distinct(F.split(low, r"[\s|]+"))),
-            "__tokens": F.regexp_count(t, F.lit(r"[^\s|]+")),
         }
     )
     whole = F.greatest(F.col("__chars"), F.lit(1))
@@ -105,14 +83,14 @@ def text_statistics(documents: DataFrame, common: DataFrame, text: str = "text",
         "doc_id",
         "word_count",
         F.when(F.col("word_count") > 0, F.col("__letters") / F.col("word_count")).alias("mean_word_length"),
-        F.when(F.col("__chars") > 0, (F.col("__solid") - F.col("__letters")) / F.col("__chars")).alias("symbol_ratio"),
+        F.when(F.col("__chars") > 0, F.greatest(F.lit(0), F.col("__solid") - F.col("__letters")) / F.col("__chars")).alias("symbol_ratio"),
         F.when(F.col("__lines") > 0, F.least(F.lit(1.0), F.col("__ended") / F.col("__lines"))).alias("punctuated_lines"),
         F.when(F.col("word_count") > 0, F.least(F.lit(1.0), F.col("__hits") / F.col("word_count"))).alias("common_words"),
         F.col("__chars").alias("n_chars"),
         F.col("__lines").alias("n_lines"),
         (F.col("__alpha") / F.greatest(F.col("__solid") - F.col("__dots"), F.lit(1))).alias("letter_share"),
         F.col("__distinct").alias("distinct_tokens"),
-        F.col("__tokens").alias("n_tokens"),
+        F.col("word_count").alias("n_tokens"),
         _share(t, _BULLET, whole).alias("bullet_share"),
         _share(t, _SHORT, whole).alias("short_share"),
         _share(t, _LEADER, whole).alias("leader_share"),
@@ -120,9 +98,9 @@ def text_statistics(documents: DataFrame, common: DataFrame, text: str = "text",
         _share(t, _FIELD, whole).alias("field_share"),
         (F.regexp_count(t, F.lit(r"[,;] ")) / n).alias("separator_rate"),
         _share(t, _LONG, whole).alias("long_share"),
-        _share(F.regexp_replace(t, r"https?://\S+", ""), r"[^\s|,;]{36,}", whole).alias("solid_share"),
-        (F.regexp_count(low, F.lit(r"[bcdfghjklmnpqrstvwxz]{5,}")) / n).alias("consonant_share"),
-        (F.regexp_count(t, F.lit(r"(?<![\p{L}\p{N}])(?=[0-9a-f]*[0-9])[0-9a-f]{6,}(?![\p{L}\p{N}])")) / n).alias("hex_share"),
+        _share(t, r"(?<![^\s|,;])(?!https?://)[^\s|,;]{36,}", whole).alias("solid_share"),
+        (F.regexp_count("__low", F.lit(r"[bcdfghjklmnpqrstvwxz]{5,}")) / n).alias("consonant_share"),
+        (F.regexp_count(t, F.lit(r"\b(?=[a-f]{0,40}[0-9])[0-9a-f]{6,40}\b")) / n).alias("hex_share"),
         _share(t, r"[ÃÂÐÑâ][-¿‚-›€™Œ-ž‹›ƒ]*", whole).alias("garbled_share"),
     )
 

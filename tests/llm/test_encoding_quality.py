@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from chatloom.llm.encoding import Ciphers, Language, repair
-from chatloom.llm.quality import classify, fit_votes, text_statistics, text_types, trie_pattern, with_votes
+from chatloom.llm.quality import classify, fit_votes, text_statistics, text_types, with_votes
 
 ES = ["Había {} personas en la estación y ninguna traía la lámpara", "¿Alguien sabe si el calendario sigue en el jardín?", "mañana hablamos después del almacén número {}", "qué risa, señor, así también aquí"]
 RU = ["Нас было {} человек, и каждый хотел взять лампу", "Мне кажется, что расписание лучше искать на кухне", "спасибо большое, до завтра", "Они обещали вернуть зонтик через неделю"]
@@ -99,10 +99,3 @@ def test_statistics(spark):
     assert typed.count() == 5
     empty = classify(d.limit(0), common.limit(0))
     assert empty.count() == 0
-
-
-def test_trie_pattern():
-    import re
-
-    p = trie_pattern(["the", "then", "they", "o", "jusqu’à"]).replace(r"[\p{L}\p{N}]", r"[^\W_]")
-    assert re.findall(p, "the then they them o jusqu’à other") == ["the", "then", "they", "o", "jusqu’à"]
