@@ -42,6 +42,10 @@ ALPHABETS = [
 
 #: Natural-log odds by which a restored value must beat the value as it stands.
 MARGIN = 3.0
+#: Natural-log odds per letter that a word must gain to tell a swap by one letter.
+LETTER = 6.0
+#: Mean log probability of a bigram below which a word is odd.
+FINE = -4.2
 _LOST = "�"
 _FLOOR = 1e-7
 
@@ -100,6 +104,8 @@ class Ciphers:
                         if letter != c:
                             table[ord(c)] = letter
                     self.swaps[f"{true}>{read}"] = table
+        # What a known swap changes: to letters and other printable characters, not to box drawing.
+        self.kept = {k: {c: y for c, y in t.items() if (y.isprintable() or y == "\xa0") and not "\u2500" <= y <= "\u25ff"} for k, t in self.swaps.items()}
 
     def _letter(self, page: str, symbol: str) -> str | None:
         try:
@@ -212,6 +218,11 @@ _DAMAGED = re.compile(
     "|ð(?:[  �]{1,3}[\u0080-¿]?|[\u0080-¿])|[âï][  �]{0,2}(?=ï¸)|ï¸[  �]?|[Â-ô]?�+"
 )
 _CONTROLS = re.compile("[\u0080-\u009f]")
+# Words with a character beyond ASCII (a swap may make no-break space of a letter); a capital behind a small letter or
+# letters of two scripts side by side; the ends of sentences and lines.
+_WORDS = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
+_BROKEN = re.compile("[a-zß-öø-ÿа-џ][A-ZÀ-ÖØ-ÞЀ-Я]|[A-Za-zÀ-ɏ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ɏ]")
+_ENDS = re.compile(r"[.!?…]\s|[\r\n]")
 
 
 class Reader:
@@ -220,6 +231,7 @@ class Reader:
     def __init__(self, language: Language, weights: dict[str, dict[str, float]], letters: dict[str, dict[str, float]]) -> None:
         self.language, self.weights, self.letters = language, weights, letters
         self.ciphers = _ciphers()
+        self._swaps: dict[str, list[tuple[str, float, int]]] = {}
 
     def weight(self, source: str, cipher: str) -> float:
         w = self.weights.get(source) or {}
@@ -236,36 +248,81 @@ class Reader:
         r, k, g = self._by_words(value, source)
         return (r, k, g) if g > gain else (best, name, gain)
 
-    def _by_words(self, value: str, source: str) -> tuple[str, str, float]:
-        """Single-byte swaps, word by word, as only a part of a value may be affected; one swap per value."""
-        spans = [m.span() for m in re.finditer(r"\S*[^\x00-\x7f\s]\S*", value)]
-        words = [(s, e, value[s:e], self.language.score(value[s:e])) for s, e in spans]
-        if all(score >= -4.2 * (len(word) + 1) for _, _, word, score in words):
-            return value, "", 0.0
-        gains: Counter = Counter()
-        forms: dict[str, list[tuple[int, int, str]]] = {}
-        for s, e, word, score in words:
+    def _plain(self, word: str) -> float:
+        """Score of a word; as the language knows small letters only, capitals and scripts out of place count here."""
+        return self.language.score(word) - LETTER * len(_BROKEN.findall(word))
+
+    def _evidence(self, word: str) -> list[tuple[str, float, int]]:
+        """Swaps that change a word's letters to letters: name, gain, number of letters; gain 0: the word speaks against it.
+
+        One letter tells a swap only within a word, if it gains much and leaves a word as of the language: no other
+        script's letter, no capital behind a small one, no rare bigrams.
+        """
+        if (out := self._swaps.get(word)) is None:
+            out, score = [], self._plain(word)
             for k, r in self.ciphers.swapped(word).items():
                 changed = [y for x, y in zip(word, r) if x != y]
-                if len(changed) < 2 or not all(y.isalpha() for y in changed):
-                    continue
-                g = self.language.score(r) - score
+                alpha = all(y.isalpha() for y in changed)
+                if len(changed) > 1:
+                    if alpha and (g := self._plain(r) - score) > 0:
+                        out.append((k, g, len(changed)))
+                elif sum(x.isalpha() for x in r) > alpha:
+                    new = self._plain(r)
+                    tells = alpha and new - score > LETTER and new >= FINE * (len(r) + 1) and not _BROKEN.search(r)
+                    out.append((k, new - score if tells else 0.0, 1))
+            if len(self._swaps) < 100_000 and len(word) < 40:
+                self._swaps[word] = out
+        return out
+
+    def _by_words(self, value: str, source: str) -> tuple[str, str, float]:
+        """Single-byte swaps, word by word, as only a part of a value may be affected; one swap per value.
+
+        Words of several changed letters tell the swap, and at least two of one such letter that are more than those
+        that speak against it. With it every word is read that scores better so or stands among such words.
+        """
+        spans = [m.span() for m in _WORDS.finditer(value)]
+        gains: dict[str, list[float]] = {}
+        for s, e in spans:
+            for k, g, n in self._evidence(value[s:e]):
+                x = gains.setdefault(k, [0.0] * 6)  # gain, length, words; of words of several letters, then of one
+                i = 3 if n == 1 else 0
                 if g > 0:
-                    gains[k] += g
-                    forms.setdefault(k, []).append((s, e, r))
-        if not gains:
+                    x[i], x[i + 1], x[i + 2] = x[i] + g, x[i + 1] + e - s, x[i + 2] + 1
+                else:
+                    x[5] -= 1
+        odd = any(self._plain(value[s:e]) < FINE * (e - s + 1) for s, e in spans)
+        usable = {}
+        for k, (g, size, n, g1, size1, n1) in gains.items():
+            few = n1 <= 0 or n1 + n < 2
+            g, size = (g if odd or not few else 0.0) + (0.0 if few else g1), size + (0.0 if few else size1)
+            if g > 0 and g >= 0.8 * size:
+                usable[k] = g
+        if not usable:
             return value, "", 0.0
-        k = max(gains, key=lambda x: gains[x] + self.weight(source, x))
-        if gains[k] < 0.8 * sum(e - s for s, e, _ in forms[k]):
-            return value, "", 0.0
-        g = gains[k] + self.weight(source, k) - self.weight(source, "")
+        k = max(usable, key=lambda x: usable[x] + self.weight(source, x))
+        g = usable[k] + self.weight(source, k) - self.weight(source, "")
         if g <= MARGIN:
             return value, "", 0.0
-        out, at = [], 0
-        for s, e, r in forms[k]:
-            out += [value[at:s], r]
-            at = e
-        return "".join([*out, value[at:]]), k, g
+        return self._affected(value, spans, self.ciphers.kept[k]), k, g
+
+    def _affected(self, value: str, spans: list[tuple[int, int]], table: dict[int, str]) -> str:
+        """The value with its affected words read by a known swap: the likeliest row of affected and unaffected words.
+
+        Going from one to the other costs MARGIN, a third of it at the end of a sentence or line, so that a word that
+        tells little, as one of a single letter, goes with its neighbours.
+        """
+        read = [value[s:e].translate(table) for s, e in spans]
+        best, back = (0.0, 0.0), []
+        for i, (s, e) in enumerate(spans):
+            turn = MARGIN / 3 if i and _ENDS.search(value[spans[i - 1][0] : s]) else MARGIN if i else 0.0
+            back.append((best[1] - turn > best[0], best[1] >= best[0] - turn))
+            gain = self._plain(read[i]) - self._plain(value[s:e])
+            best = (max(best[0], best[1] - turn), max(best[1], best[0] - turn) + gain)
+        out, at, affected = [], len(value), best[1] > best[0]
+        for (s, e), r, b in zip(spans[::-1], read[::-1], back[::-1]):
+            out += [value[e:at], r if affected else value[s:e]]
+            at, affected = s, b[affected]
+        return "".join([*out, value[:at]][::-1])
 
     def lost(self, value: str) -> list[tuple[int, int, str, dict[str, float]]]:
         """Damaged symbols of a value: place, symbol, and the probabilities of their letters between their neighbours."""

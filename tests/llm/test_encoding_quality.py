@@ -1,8 +1,9 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from chatloom.llm.encoding import Ciphers, Language, repair
+from chatloom.llm.encoding import Ciphers, Language, Reader, repair
 from chatloom.llm.quality import classify, fit_votes, text_statistics, text_types, with_votes
 
 ES = ["Había {} personas en la estación y ninguna traía la lámpara", "¿Alguien sabe si el calendario sigue en el jardín?", "mañana hablamos después del almacén número {}", "qué risa, señor, así también aquí"]
@@ -56,6 +57,27 @@ def test_lost_bytes_are_found(spark):
     assert {(r["rec_id"], r["field"]) for r in found} == {(1000, "content"), (1001, "content"), (1002, "content"), (2**62 + 1, "content"), (None, "sender_name")}
 
 
+def test_swaps_take_words_of_one_changed_letter_along():
+    pairs = Counter()
+    for t in [*RU, *ES, "Но я не уверен, я сам с лампой", "Тогда к вечеру, и я там", "qué más da, está allí"]:
+        Language.count(t.format(7), pairs, 300.0)
+    reader = Reader(Language(pairs), {}, {})
+    for text, true, read in (
+        ("Нас было 7 человек, и каждый хотел взять лампу", "cp1251", "cp1252"),
+        ("я сам хотел взять расписание, и я не уверен", "koi8_r", "cp1251"),
+        ("¿Alguien sabe si también hay una lámpara en la estación?", "cp1252", "cp437"),
+        ("mañana hablamos después, señor, así también aquí", "mac_roman", "cp1252"),
+        ("Había 3 personas en la estación y ninguna traía la lámpara", "cp850", "mac_roman"),
+    ):
+        bad = text.encode(true).decode(read)
+        assert reader.repair(bad, "s")[0] == text
+        assert reader.repair(text, "s") == (text, "")
+    half = "Нас было 7 человек. " + "и каждый хотел взять лампу".encode("koi8_r").decode("cp1251")
+    assert reader.repair(half, "s")[0] == "Нас было 7 человек. и каждый хотел взять лампу"
+    for fine in ("Jag är på ön, så går det", "£5, 20° ± 2 µm", "façade, naïve, œuvre"):
+        assert reader.repair(fine, "s") == (fine, "")
+
+
 def test_ciphers_invert_themselves():
     c = Ciphers()
     text = "Привет, señor — “ça va”? 🐌"
