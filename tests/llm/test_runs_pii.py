@@ -27,6 +27,15 @@ def test_same_words(spark):
     assert same(spark, "weiß schön", "WEISS SCHÖN") and same(spark, None, "") and same(spark, "!?", "!?") and not same(spark, "👍", "🎉") and not same(spark, "", "x")
 
 
+def test_slips_that_merge_repeated_letters(spark):
+    pairs = [("хорошо", "хоошо"), ("hahaha", "haahha"), ("ababab", "aaabbb"), ("hahaha хорошо banana", "haahha хоошо baanna")]
+    pairs += [(f"{x} {x}", f"{y} {y}") for x, y in pairs]
+    d = spark.createDataFrame(pairs, "a string, b string").select(words_of(F.col("a")).alias("a"), words_of(F.col("b")).alias("b"))
+    got = d.select("a", same_words(F.col("a"), F.col("b")).alias("x"), same_words(F.col("b"), F.col("a")).alias("y")).collect()
+    assert all(r["x"] and r["y"] for r in got), got
+    assert not same(spark, "hahaha", "hoohho") and not same(spark, "хорошо да", "хоошо но")
+
+
 def rows_of(spark, events):
     return spark.createDataFrame([(c, s, a, t, T0 + dt.timedelta(seconds=s) if s % 7 else None, T0 if t == "edited copy" else None, 1, i) for i, (c, s, a, t) in enumerate(events)], SCHEMA)
 
