@@ -76,7 +76,7 @@ def pieces(sized: DataFrame, containers: DataFrame) -> DataFrame:
     return d.select("container_kind", "capacity", "doc_id", "piece", start.alias("token_start"), F.least(start + F.col("capacity"), F.col("n_tokens")).alias("token_end"))
 
 
-def pack(documents: DataFrame, containers: DataFrame, tokenizer: str = TOKENIZER, rule: str = "norm", shard_items: int = SHARD_ITEMS, tokens_per_document: int = TOKENS_PER_DOCUMENT) -> DataFrame:
+def pack(documents: DataFrame, containers: DataFrame, tokenizer: str = TOKENIZER, rule: str = "norm", shard_items: int = SHARD_ITEMS, tokens_per_document: int = TOKENS_PER_DOCUMENT, cost_share: float = 1.0) -> DataFrame:
     """``container_kind, container_id, doc_id, piece, token_start, token_end``: every text for each kind of container.
 
     Texts are measured once; only keys and sizes are shuffled. They are dealt by hash to shards of about *shard_items*
@@ -86,7 +86,8 @@ def pack(documents: DataFrame, containers: DataFrame, tokenizer: str = TOKENIZER
 
     Defined cases: null and empty texts are items of size 0; repeated texts are items of their own; equal sizes are
     taken in the order of their keys, so the result is the same each time; no documents, no rows. ``doc_id`` must be
-    unique and may be null once; other columns are ignored. The capacity of attention cost is the square of the tokens'.
+    unique and may be null once; other columns are ignored. The capacity of attention cost is *cost_share* of the square of
+    the tokens': at 1 it never binds, as no sum of squares exceeds the square of the sum; below, it does.
     """
     kind = dict(documents.dtypes)["doc_id"]
     # Keys are text on their way through Python, where whole numbers beside nulls would become floating-point ones.
@@ -102,7 +103,7 @@ def pack(documents: DataFrame, containers: DataFrame, tokenizer: str = TOKENIZER
         d = d.sort_values(["doc_id", "piece"], kind="stable")
         capacity = int(d["capacity"].iloc[0])
         most = max(1, capacity // tokens_per_document)
-        bins = best_fit((d["token_end"] - d["token_start"]).to_numpy(), capacity, most, float(capacity) ** 2, rule)
+        bins = best_fit((d["token_end"] - d["token_start"]).to_numpy(), capacity, most, cost_share * float(capacity) ** 2, rule)
         ids = f"s{d['shard'].iloc[0]}-" + pd.Series(bins, index=d.index).astype(str)
         return d[keys].assign(container_id=ids)
 

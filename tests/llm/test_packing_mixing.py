@@ -35,6 +35,15 @@ def test_best_fit_is_tight():
         best_fit(np.array([101]), 100, 3, 1e9)
 
 
+def test_pack_keeps_a_cost_that_binds(spark):
+    kinds = spark.createDataFrame([("large", 512)], "container_kind string, capacity_tokens int")
+    d = docs(spark, 120)
+    used = {share: containers_used(pack(d, kinds, cost_share=share)).collect() for share in (1.0, 0.25)}
+    assert all(r["n_pieces"] == 1 or r["attention_cost"] <= 0.25 * 512**2 for r in used[0.25])
+    assert any(r["n_pieces"] > 1 and r["attention_cost"] > 0.25 * 512**2 for r in used[1.0])
+    assert sum(r["n_tokens"] for r in used[0.25]) == sum(r["n_tokens"] for r in used[1.0]) and len(used[0.25]) > len(used[1.0])
+
+
 def docs(spark, n=300):
     r = random.Random(2)
     word = "lantern kettle ladder parcel archive".split()
