@@ -1,26 +1,40 @@
 """Text statistics of documents and the text type they point to.
 
-Statistics come from regular expressions inside the JVM, over whole texts. Thresholds on them are labelling functions
-that vote for a type or abstain; how far each can be trusted is learnt by expectation-maximisation from their
-agreements over all documents (no labels), and the posterior of the types is an expression of a row's votes.
+Statistics come from regular expressions inside the JVM, over whole texts. Each statistic is cut by thresholds, and each
+of its ranges is a noisy labelling function: it speaks for one type. Thresholds and what they speak for come from a
+bounded sample of labelled documents; how far each can be trusted is learnt by expectation-maximisation from the
+agreements of all of them over all documents, and the posterior of the types is an expression of a row's ranges.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.session import cut_lineage
 
-__all__ = ["text_statistics", "with_votes", "fit_votes", "text_types", "classify"]
+__all__ = ["STATISTICS", "text_statistics", "Thresholds", "find_thresholds", "with_ranges", "fit_accuracies", "text_types", "classify"]
 
 KINDS = ["prose", "list", "table", "junk"]
-_PROSE, _LIST, _TABLE, _JUNK = 1, 2, 3, 4
-
+#: The statistics that are cut by thresholds, each on its own.
+STATISTICS = [
+    "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "letter_share", "distinct_tokens", "distinct_share", "tokens_per_line",
+    "bullet_share", "short_share", "leader_share", "listed_share", "row_share", "field_share", "tabular_share", "separator_rate", "long_share",
+    "solid_share", "consonant_share", "hex_share", "garbled_share",
+]
+#: Labelled documents that thresholds are found on, at most; those of the smallest hashes are taken.
+MOST_LABELS = 2000
+#: Words of the table of common words, at most: the condition on them goes into the plan.
+MOST_WORDS = 20_000
+#: What a labelling function is believed at first to be right in, and the weight of all labelled documents together in
+#: the learning, as a share of all documents.
+BELIEF, LABELLED_WEIGHT = 0.8, 0.1
 
 _GAP = r"[^\p{L}\p{M}\p{N}'’]+"
 # Line shapes. A "short item" has at most seven words. Groups repeat a bounded number of times only: Java matches
@@ -35,7 +49,7 @@ _ROW = (
     r"|[^,\s][^,.\n]{0,40},(?! )[^,\n]{0,40},(?! )[^\n]*|[^;\n]{1,40};(?! )[^;\n]{0,40};(?! )[^\n]*"
     rf"|[ ]*{_CELLS} {{2,}}{_CELLS} {{2,}}[^\s][^\n]*)$"
 )
-_FIELD = r"(?m)^[ \t]*[\p{L}_][\p{L}\p{N}_-]{0,24}(?: [\p{L}\p{N}_-]{1,20})?[ \t]*[:=][ \t]*(?:[^\s]+[ \t]*){0,6}$"
+_FIELD = r"(?m)^[ \t]*[\p{L}_][\p{L}\p{N}_-]{0,24}(?: [\p{L}\p{N}_-]{1,20})?[ \t]*[:=][ \t]*(?:(?:[^\s]+[ \t]+){0,5}[^\s]+)?[ \t]*$"
 _LONG = r"(?m)^(?:[^\s]+[ \t]+){7}[^\s][^\n]*$"
 
 
@@ -51,12 +65,16 @@ def text_statistics(documents: DataFrame, common: DataFrame, text: str = "text",
     ``punctuated_lines`` (share of non-blank lines that end in a sentence mark), ``common_words`` (share of words
     that are common in the document's language; in any, where the language is unknown).
 
-    *common* is a fixed small table of words, read once to the driver for the condition. Defined cases: null or empty
+    *common* is a small table of words, read once to the driver for the condition; one of more than ``MOST_WORDS`` is
+    refused. Defined cases: null or empty
     text has 0 words and null means and ratios; languages are compared trimmed and in lower case; texts of any length
     are read whole; other columns are ignored.
     """
     known: dict[str, list[str]] = {}
-    for r in common.select("lang", "word").dropna().distinct().collect():
+    rows = common.select("lang", "word").dropna().distinct().limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} common words")
+    for r in rows:
         known.setdefault(r[0], []).append(r[1].lower())
     t, words = F.col("__t"), F.col("__words")
     d = documents.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__t"), F.lower(F.trim(F.col(f"`{lang}`"))).alias("__lang"))
@@ -79,7 +97,7 @@ def text_statistics(documents: DataFrame, common: DataFrame, text: str = "text",
     )
     whole = F.greatest(F.col("__chars"), F.lit(1))
     n = F.greatest(F.col("word_count"), F.lit(1))
-    return d.select(
+    d = d.select(
         "doc_id",
         "word_count",
         F.when(F.col("word_count") > 0, F.col("__letters") / F.col("word_count")).alias("mean_word_length"),
@@ -103,94 +121,158 @@ def text_statistics(documents: DataFrame, common: DataFrame, text: str = "text",
         (F.regexp_count(t, F.lit(r"\b(?=[a-f]{0,40}[0-9])[0-9a-f]{6,40}\b")) / n).alias("hex_share"),
         _share(t, r"[ÃÂÐÑâ][-¿‚-›€™Œ-ž‹›ƒ]*", whole).alias("garbled_share"),
     )
+    return d.withColumns(
+        {
+            "distinct_share": F.col("distinct_tokens") / F.greatest(F.col("word_count"), F.lit(1)),
+            "tokens_per_line": F.col("word_count") / F.greatest(F.col("n_lines"), F.lit(1)),
+            "listed_share": F.col("bullet_share") + F.col("leader_share") + F.col("short_share"),
+            "tabular_share": F.col("row_share") + F.col("field_share"),
+        }
+    )
+
+
+@dataclass(frozen=True)
+class Thresholds:
+    """Thresholds by statistic, the share of each type in the sample, and by statistic what a type's documents of the
+    sample count in each range; ``n`` is the size of the sample."""
+
+    cuts: dict[str, list[float]]
+    share: np.ndarray
+    counts: dict[str, np.ndarray]
+    n: int
+
+
+def _entropy(y: np.ndarray) -> float:
+    p = np.bincount(y, minlength=len(KINDS)) / max(len(y), 1)
+    p = p[p > 0]
+    return float(-(p * np.log(p)).sum())
+
+
+def _cuts(v: np.ndarray, y: np.ndarray, depth: int, least: int) -> list[float]:
+    """Thresholds that tell most about the type, found by halving again and again; none where there is little to tell."""
+    if depth == 0 or len(v) < 2 * least:
+        return []
+    u = np.unique(np.quantile(v, np.linspace(0, 1, 65)))
+    best, at = 0.01, None
+    for q in (u[:-1] + u[1:]) / 2:
+        high = v > q
+        n = int(high.sum())
+        if least <= n <= len(v) - least:
+            gain = _entropy(y) - (n * _entropy(y[high]) + (len(v) - n) * _entropy(y[~high])) / len(v)
+            if gain > best:
+                best, at = gain, float(q)
+    if at is None:
+        return []
+    return [*_cuts(v[v <= at], y[v <= at], depth - 1, least), at, *_cuts(v[v > at], y[v > at], depth - 1, least)]
+
+
+def find_thresholds(stats: DataFrame, labels: DataFrame, most: int = MOST_LABELS, depth: int = 4, least: int = 8) -> Thresholds:
+    """Thresholds of each statistic by itself, from at most *most* labelled documents (``doc_id, kind``).
+
+    Of more labels those with the smallest hash of their key are read. Labels of unknown kinds or documents are left out;
+    of a document labelled twice the first kind in the alphabet counts.
+    """
+    known = labels.where(F.col("kind").isin(KINDS) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("kind").alias("label"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = stats.join(F.broadcast(known), "doc_id").select("label", *STATISTICS).toPandas()  # at most *most* rows
+    y = np.array([KINDS.index(k) for k in rows["label"]], dtype=np.int64)
+    cuts, counts = {}, {}
+    for c in STATISTICS:
+        v = rows[c].astype(float).fillna(0.0).to_numpy()
+        if found := _cuts(v, y, depth, least):
+            cuts[c] = found
+            counts[c] = np.zeros((len(KINDS), len(found) + 1))
+            np.add.at(counts[c], (y, np.searchsorted(found, v, side="left")), 1.0)
+    return Thresholds(cuts, (np.bincount(y, minlength=len(KINDS)) + 1) / (len(y) + len(KINDS)), counts, len(y))
+
+
+def with_ranges(stats: DataFrame, thresholds: Thresholds) -> DataFrame:
+    """Adds ``r_<statistic>``, the range that the statistic's value lies in; null counts as 0."""
+    value = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return stats.withColumns({f"r_{c}": reduce(lambda a, q: a + (value(c) > q).cast("int"), cuts, F.lit(0)).cast("tinyint") for c, cuts in thresholds.cuts.items()})
+
+
+def _expect(names: list[str], prior: np.ndarray, rates: list[np.ndarray]):
+    """The expectation step over patterns of ranges with their numbers: sums by type, and by type, statistic and range."""
+    log_prior, logs = np.log(prior), [np.log(r) for r in rates]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mass, counts = np.zeros(len(prior)), [np.zeros_like(r) for r in rates]
+        for d in parts:
+            ranges, n = [d[c].to_numpy().astype(int) for c in names], d["n"].to_numpy().astype(float)
+            log = log_prior + sum(lg[:, r].T for lg, r in zip(logs, ranges))
+            post = np.exp(log - log.max(1, keepdims=True))
+            post *= (n / post.sum(1))[:, None]
+            mass += post.sum(0)
+            for c, r in zip(counts, ranges):
+                for k in range(len(prior)):
+                    c[k] += np.bincount(r, weights=post[:, k], minlength=c.shape[1])
+        flat = np.concatenate([mass, *[c.ravel() for c in counts]])
+        yield pd.DataFrame({"at": np.arange(len(flat)), "x": flat})
+
+    return run
 
 
-def _votes() -> dict[str, tuple[Column, int]]:
-    """Labelling functions: a condition and the kind it votes for."""
-    c = F.col
-    listed = c("bullet_share") + c("leader_share")
-    tabular = c("row_share") + c("field_share")
-    filled = c("n_chars") > 0
-    worded = (c("solid_share") < 0.3) & (c("letter_share") >= 0.5)
-    running = c("separator_rate") < 0.18
-    varied = (c("n_lines") >= 2) & (c("distinct_tokens") > 8) & (c("letter_share") >= 0.1)
-    return {
-        "fluent": ((c("common_words") >= 0.15) & (c("long_share") >= 0.5) & running & (c("row_share") < 0.5), _PROSE),
-        "sentences": ((c("punctuated_lines") >= 0.5) & (c("long_share") >= 0.4) & (c("letter_share") >= 0.75) & running, _PROSE),
-        "wordy": ((c("word_count") >= 8 * c("n_lines")) & (c("letter_share") >= 0.8) & (c("consonant_share") < 0.05) & (c("distinct_tokens") > 12) & running, _PROSE),
-        "function_words": ((c("common_words") >= 0.22) & running & (c("short_share") < 0.5), _PROSE),
-        "bullets": (c("bullet_share") >= 0.5, _LIST),
-        "leaders": (c("leader_share") >= 0.4, _LIST),
-        "short_lines": ((c("short_share") >= 0.5) & worded & (tabular < 0.3), _LIST),
-        "inline": (~running & (c("word_count") >= 10) & (c("long_share") >= 0.4) & (tabular < 0.3) & worded, _LIST),
-        "items": ((listed + c("short_share") >= 0.6) & (tabular < 0.4) & (c("long_share") < 0.4) & worded, _LIST),
-        "rows": ((c("row_share") >= 0.5) & varied, _TABLE),
-        "fields": ((c("field_share") >= 0.5) & (c("n_lines") >= 3), _TABLE),
-        "tabular": ((tabular >= 0.6) & varied, _TABLE),
-        "no_letters": (filled & (c("letter_share") < 0.35) & ((c("row_share") < 0.5) | (c("letter_share") < 0.1)), _JUNK),
-        "no_known_words": (filled & (F.coalesce(c("common_words"), F.lit(0.0)) < 0.02) & (listed + c("short_share") + tabular < 0.4) & running, _JUNK),
-        "monotonous": ((c("n_tokens") >= 20) & (c("distinct_tokens") <= 12), _JUNK),
-        "unbroken": (c("solid_share") >= 0.5, _JUNK),
-        "unpronounceable": ((c("consonant_share") >= 0.12) & (c("common_words") < 0.05), _JUNK),
-        "hexadecimal": (c("hex_share") >= 0.3, _JUNK),
-        "garbled": ((c("garbled_share") >= 0.3) & (c("common_words") < 0.05), _JUNK),
-        "no_sense": (filled & ((c("word_count") == 0) | (c("solid_share") >= 0.5) | ((c("n_tokens") >= 20) & (c("distinct_tokens") <= 12))), _JUNK),
-    }
-
-
-def with_votes(stats: DataFrame) -> DataFrame:
-    """Adds ``v_<name>`` BOOLEAN for each labelling function: it votes, or it abstains."""
-    return stats.withColumns({f"v_{k}": F.coalesce(cond, F.lit(False)) for k, (cond, _) in _votes().items()})
-
-
-def fit_votes(voted: DataFrame, iterations: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Prior of the kinds and each function's rate of voting given the kind, by EM over all documents.
-
-    What reaches the driver is the count of each pattern of votes: at most 2^20 rows by their form, a few hundred in
-    practice, whatever the number of documents. Functions start as believing their own kind and agree or not from
-    there; two pseudo-counts keep rates away from 0 and 1. Without documents the start is returned.
+def fit_accuracies(patterns: DataFrame, thresholds: Thresholds, rounds: int = 40) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Prior of the types and, by statistic, the probability of each range given the type: EM over all documents.
+
+    *patterns* has a row per pattern of ranges with its number ``n`` of documents. At first every labelling function is
+    believed alike (``BELIEF``) to be right in what it speaks for; from there only the functions' agreements decide, with
+    the labelled documents of the sample kept at their labels at a weight of ``LABELLED_WEIGHT`` of all documents.
+    To the driver come sums by type and range, some hundreds of numbers a round, whatever the number of documents.
+    Rounds end when the types' shares stand still. ``rounds=0`` gives the start, that is, a vote of equals.
     """
-    names = list(_votes())
-    own = np.array([k - 1 for _, k in _votes().values()])
-    prior = np.array([0.7, 0.1, 0.1, 0.1])
-    rate = np.where(own[None, :] == np.arange(4)[:, None], 0.6, 0.02)
-    rows = voted.groupBy(*[f"v_{n}" for n in names]).count().collect()
-    if not rows:
-        return prior, rate
-    x = np.array([[float(r[f"v_{n}"]) for n in names] for r in rows])
-    w = np.array([float(r["count"]) for r in rows])
-    for _ in range(iterations):
-        log = np.log(prior)[None, :] + x @ np.log(rate).T + (1 - x) @ np.log(1 - rate).T
-        post = np.exp(log - log.max(1, keepdims=True))
-        post = post / post.sum(1, keepdims=True) * w[:, None]
-        mass = post.sum(0)
-        prior = (mass + 1) / (mass.sum() + 4)
-        start = np.where(own[None, :] == np.arange(4)[:, None], 0.6, 0.02)
-        rate = (post.T @ x + 2 * start) / (mass[:, None] + 2)
-        rate = np.clip(rate, 1e-4, 1 - 1e-4)
-    return prior, rate
-
-
-def text_types(voted: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    names = [f"r_{c}" for c in thresholds.cuts]
+    prior, rates = thresholds.share, []
+    for c, n in thresholds.counts.items():
+        speaks = (n / np.maximum(n.sum(0), 1) / prior[:, None]).argmax(0)
+        r = np.where(speaks[None, :] == np.arange(len(KINDS))[:, None], BELIEF, 1 - BELIEF)
+        rates.append(r / r.sum(1, keepdims=True))
+    start = [r.copy() for r in rates]
+    sizes = np.cumsum([len(KINDS), *[r.size for r in rates]])
+    for _ in range(rounds if names else 0):
+        got = patterns.select(*names, "n").mapInPandas(_expect(names, prior, rates), "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
+        flat = np.zeros(sizes[-1])
+        for r in got:
+            flat[r["at"]] = r["x"]
+        mass = flat[: len(KINDS)]
+        if not mass.sum():
+            break
+        weight = LABELLED_WEIGHT * mass.sum() / max(thresholds.n, 1)
+        rates = []
+        for i, c in enumerate(thresholds.cuts):
+            x = flat[sizes[i] : sizes[i + 1]].reshape(start[i].shape) + weight * thresholds.counts[c] + 2 * start[i]
+            rates.append(x / x.sum(1, keepdims=True))
+        last, prior = prior, (mass + 1) / (mass.sum() + len(KINDS))
+        if np.abs(prior - last).max() < 1e-5:
+            break
+    return prior, dict(zip(thresholds.cuts, rates))
+
+
+def text_types(ranged: DataFrame, model: tuple[np.ndarray, dict[str, np.ndarray]]) -> DataFrame:
     """Adds ``kind``, the most probable type, and ``posterior``, its probability.
 
-    A sum of log odds per kind, inside the JVM. A document that nothing votes for (empty text included) gets what the
-    prior and the abstentions make of it, ``prose`` on natural data; ties go to the earlier of prose, list, table, junk.
+    A sum of log probabilities per type, inside the JVM; ties go to the earlier of prose, list, table, junk. Where the
+    model has no thresholds, as without labels, all documents get the type of the greatest prior.
+    """
+    prior, rates = model
+    d = ranged
+    for k in range(len(KINDS)):
+        terms = [F.element_at(F.array(*[F.lit(float(x)) for x in np.log(r[k])]), F.col(f"r_{c}").cast("int") + 1) for c, r in rates.items()]
+        d = d.withColumn(f"__l{k}", reduce(lambda a, b: a + b, terms, F.lit(float(np.log(prior[k])))))
+    top = F.greatest(*[F.col(f"__l{k}") for k in range(len(KINDS))])
+    kind = reduce(lambda c, k: c.when(F.col(f"__l{k}") == top, KINDS[k]), range(len(KINDS)), F.when(F.lit(False), F.lit("")))
+    total = reduce(lambda a, b: a + b, [F.exp(F.col(f"__l{k}") - top) for k in range(len(KINDS))])
+    return d.withColumn("kind", kind).withColumn("posterior", 1 / total).drop(*[f"__l{k}" for k in range(len(KINDS))])
+
+
+def classify(documents: DataFrame, common: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, rounds: int = 40) -> DataFrame:
+    """Statistics, ranges, type and posterior of every document; the statistics are written once, as are the patterns.
+
+    Defined cases: see :func:`text_statistics`; without labels every document is prose.
     """
-    prior, rate = model
-    logs = []
-    for k in range(4):
-        base = math.log(prior[k]) + sum(math.log(1 - r) for r in rate[k])
-        terms = [F.when(F.col(f"v_{n}"), F.lit(float(math.log(r) - math.log(1 - r)))).otherwise(0.0) for n, r in zip(_votes(), rate[k])]
-        logs.append(reduce(lambda a, b: a + b, terms, F.lit(float(base))))
-    d = voted.withColumns({f"__l{k}": x for k, x in enumerate(logs)})
-    top = F.greatest(*[F.col(f"__l{k}") for k in range(4)])
-    kind = reduce(lambda c, k: c.when(F.col(f"__l{k}") == top, KINDS[k]), range(4), F.when(F.lit(False), F.lit("")))
-    total = reduce(lambda a, b: a + b, [F.exp(F.col(f"__l{k}") - top) for k in range(4)])
-    return d.withColumn("kind", kind).withColumn("posterior", 1 / total).drop(*[f"__l{k}" for k in range(4)])
-
-
-def classify(documents: DataFrame, common: DataFrame) -> DataFrame:
-    """Statistics, votes, type and posterior of every document; the statistics are written once and used twice."""
-    voted = cut_lineage(with_votes(text_statistics(documents, common)))
-    return text_types(voted, fit_votes(voted))
+    stats = cut_lineage(text_statistics(documents, common))
+    thresholds = find_thresholds(stats, labels, most_labels)
+    ranged = with_ranges(stats, thresholds)
+    patterns = cut_lineage(ranged.groupBy(*[f"r_{c}" for c in thresholds.cuts]).agg(F.count(F.lit(1)).alias("n"))) if thresholds.cuts else ranged
+    return text_types(ranged, fit_accuracies(patterns, thresholds, rounds))

@@ -54,7 +54,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_types(spark: SparkSession, d: str) -> DataFrame:
-    typed = quality.classify(read_table(spark, d, "documents"), read_table(spark, d, "common_words"))
+    typed = quality.classify(read_table(spark, d, "documents"), read_table(spark, d, "common_words"), read_table(spark, d, "doc_labels"))
     return typed.select("doc_id", "word_count", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "kind", "posterior")
 
 

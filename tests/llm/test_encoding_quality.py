@@ -1,10 +1,12 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from chatloom.llm.encoding import Ciphers, Language, Reader, repair
-from chatloom.llm.quality import classify, fit_votes, text_statistics, text_types, with_votes
+from chatloom.llm import quality
+from chatloom.llm.quality import STATISTICS, classify, find_thresholds, text_statistics
 
 ES = ["Había {} personas en la estación y ninguna traía la lámpara", "¿Alguien sabe si el calendario sigue en el jardín?", "mañana hablamos después del almacén número {}", "qué risa, señor, así también aquí"]
 RU = ["Нас было {} человек, и каждый хотел взять лампу", "Мне кажется, что расписание лучше искать на кухне", "спасибо большое, до завтра", "Они обещали вернуть зонтик через неделю"]
@@ -100,12 +102,46 @@ def documents():
     return [(k, f()) for k, f in (("prose", prose), ("list", listed), ("table", tabled), ("junk", junk)) for _ in range(60 if k == "prose" else 20)]
 
 
-def test_types_without_labels(spark):
-    docs = documents()
+def typed(spark, docs, share=4, **options):
+    """Kinds of documents when one in *share* is labelled, and how many of the others are right."""
     d = spark.createDataFrame([(i, t, "EN " if i % 3 else None, "x") for i, (_, t) in enumerate(docs)], "doc_id bigint, text string, lang string, kind string")
     common = spark.createDataFrame([("en", w) for w in WORDS], "lang string, word string")
-    got = {r["doc_id"]: r["kind"] for r in classify(d, common).collect()}
-    assert sum(got[i] == k for i, (k, _) in enumerate(docs)) >= 0.97 * len(docs)
+    labels = spark.createDataFrame([(i, k if i % 7 else None) for i, (k, _) in enumerate(docs) if i % share == 0] + [(10**6, "prose"), (None, "list")], "doc_id bigint, kind string")
+    got = {r["doc_id"]: r["kind"] for r in classify(d, common, labels, **options).collect()}
+    rest = [i for i in range(len(docs)) if i % share]
+    return got, sum(got[i] == docs[i][0] for i in rest) / len(rest)
+
+
+def test_types_of_unlabelled_documents(spark):
+    docs = documents() * 2
+    got, right = typed(spark, docs)
+    assert len(got) == len(docs) and right >= 0.95
+    assert typed(spark, docs, rounds=0)[1] <= right
+
+
+def test_types_without_labels_or_documents(spark):
+    d = spark.createDataFrame([(1, "a b c", "en"), (2, None, None)], "doc_id bigint, text string, lang string")
+    common = spark.createDataFrame([("en", w) for w in WORDS], "lang string, word string")
+    none = spark.createDataFrame([], "doc_id bigint, kind string")
+    assert {r["kind"] for r in classify(d, common, none).collect()} == {"prose"}
+    assert classify(d.limit(0), common.limit(0), none).count() == 0
+    some = spark.createDataFrame([(1, "list"), (2, "junk")], "doc_id bigint, kind string")
+    assert classify(d, common, some).count() == 2
+    assert find_thresholds(text_statistics(d, common), some, most=1).n == 1
+
+
+def test_patterns_stay_linear(spark):
+    """Long tokens, words and lines cost what they are long: no pattern of the statistics runs away."""
+    n = 100_000
+    texts = ["link: " + "x" * n + " one two three four five six seven eight", "x" * n, "1" * n, "a " * n, "- " * n, "a|" * n, ("a" * 40 + ",") * (n // 40), "\t" * n, "." * n, "é" * n, ("a:" + " b" * 9 + "\n") * (n // 20), "Ã" * n, "[ ] " * n, "a" * 30 + ": " + "b" * n]
+    d = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    common = spark.createDataFrame([("en", "the")], "lang string, word string")
+    import time
+
+    text_statistics(d.limit(1), common).collect()
+    began = time.time()
+    assert len(text_statistics(d, common).collect()) == len(texts)
+    assert time.time() - began < 40
 
 
 def test_statistics(spark):
@@ -117,7 +153,10 @@ def test_statistics(spark):
     assert abs(r[1]["common_words"] - 6 / 11) < 1e-9 and abs(r[1]["symbol_ratio"] - 2 / len(text)) < 1e-9
     assert r[2]["word_count"] == 0 and r[2]["mean_word_length"] is None and r[3]["symbol_ratio"] is None
     assert r[4]["word_count"] == 30_000 and r[4]["common_words"] == 1.0 and r[5]["common_words"] == 1.0
-    typed = text_types(with_votes(text_statistics(d, common)), fit_votes(with_votes(text_statistics(d, common))))
-    assert typed.count() == 5
-    empty = classify(d.limit(0), common.limit(0))
-    assert empty.count() == 0
+    assert set(STATISTICS) <= set(text_statistics(d, common).columns)
+    with pytest.raises(ValueError):
+        quality.MOST_WORDS, most = 3, quality.MOST_WORDS
+        try:
+            text_statistics(d, common)
+        finally:
+            quality.MOST_WORDS = most

@@ -121,6 +121,30 @@ def test_items_inside_others_dont_count_and_text_stays():
     assert f.items(long) == [(400_000, 400_011, "email")]
 
 
+def test_items_longer_than_any_window():
+    f = Finder(NAMES)
+    host = ".".join(["b" * 40] * 5) + ".example"
+    for kind, item in (("email", "a" * 60 + "@" + host), ("address", "12 " + "Q" * 300 + " Lane, X"), ("address", "Oldquill" * 60 + "weg 12"), ("name", "Kelvuta" + " " * 50 + "Ostdahl"), ("id_number", "passport " + "AB-" * 30 + "123456")):
+        assert f.kinds(item) == [kind], item
+    assert f.kinds("call tel:+4930231251311") == ["phone"] and f.kinds("x sip:ann@host.example") == ["email"]
+    assert f.redacted("see mailto:a@b.example.") == "see [EMAIL]."
+
+
+def test_finder_stays_linear():
+    """No text of long tokens, repeated words, digits or anchors makes the finder slow."""
+    import time
+
+    n = 100_000
+    parts = ["1", "12 ", "1-", "(12)", "+1 ", "A1", "@", "a@", "b.", "a dot ", "x at y dot ", " street", "12 old street ", "weg", "weg 12 ", "rue ", "12, rue ", "ул. ", "ул.я", "я", "passport ", "passport 1 ",
+             "ostdahl", "ostdahl-", "ostdahl, ", "Kelvuta ", "dr. ", "flat 3, ", "tel:12 ", "mailto:", "'", "İ", " ", "\n"]
+    texts = [p * n for p in parts] + ["ул. " + "я" * n, "ул. " + "я я" * n, "passport " + "1-" * n + "é", "12 " + "a" * n + " street 5", "12 old street" + ", Abc" * n, "a@" + "b-" * n + "c.org", "Kelvuta " * n + "Ostdahl", "(" * n + "at)"]
+    f = Finder(NAMES)
+    for t in texts:
+        began = time.time()
+        f.items(t)
+        assert time.time() - began < 8, t[:40]
+
+
 def test_over_tables(spark):
     contacts = spark.createDataFrame([(i, g, x) for i, (g, x) in enumerate([("Kelvuta", "Ostdahl"), (None, None), ("Zorek", "Wexmoor")])], "person_id int, given_name string, family_name string")
     m = spark.createDataFrame([("c", 1, "a@b.example", "Kelvuta Ostdahl"), ("c", 1, "a@b.example", "Kelvuta Ostdahl"), ("c", 2, None, None), ("c", 3, "x", "")], "chat_id string, seq bigint, content string, sender string")
