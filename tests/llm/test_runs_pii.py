@@ -1,17 +1,23 @@
 import datetime as dt
 import random
 
-from hypothesis import given, settings
+import pytest
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chatloom.llm.pii import Finder, NameModel, found_items, name_model, redact
-from chatloom.llm.runs import best_segmentation, collapse_runs, same_words, words_of
+from chatloom.llm.runs import collapse_runs, dissimilarity, same_words, segment, words_of
 
 SCHEMA = "chat_id string, seq bigint, sender string, content string, timestamp timestamp, edited timestamp, batch_no int, row_id bigint"
 T0 = dt.datetime(2024, 1, 1)
 
 
+@pytest.fixture(scope="module")
+def spark_words():
+    return []
+
+
 def same(spark, a, b):
     d = spark.createDataFrame([(a, b)], "a string, b string").select(words_of(F.col("a")).alias("a"), words_of(F.col("b")).alias("b"))
     return d.select(same_words(F.col("a"), F.col("b"))).first()[0]
@@ -68,21 +74,44 @@ def test_runs_edges(spark):
     assert collapse_runs(d.limit(0)).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from([0.0, 0.25, 5.0, float("inf")]), max_size=12))
-def test_pruned_recursion_is_optimal_and_local(costs):
-    n = len(costs) + 1
+def cost(items, starts, near_cost, penalty):
+    """Cost of a segmentation, straight from its definition."""
+    total = 0.0
+    for s, e in zip(starts, [*starts[1:], len(items)]):
+        total += penalty + near_cost * min(max(dissimilarity(x, f) for x in items[s:e]) for f in items)
+    return total
 
-    def cost(cuts):
-        starts = [0, *cuts]
-        return len(starts) + sum(c for i, c in enumerate(costs) if i + 1 not in starts)
 
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.sampled_from(["lantern at noon", "lantrn at noon", "lantrn t noon", "lanter at noon", "lantern at nooon", "ladder at dusk"]), min_size=1, max_size=9), st.sampled_from([(0.5, 1.0), (1.0, 0.2), (1.0, 0.4)]))
+def test_pruned_recursion_is_optimal(items, costs):
     import itertools
 
-    best = min(cost(c) for k in range(n) for c in itertools.combinations(range(1, n), k))
-    got = best_segmentation(costs, 1.0)
-    assert cost(got[1:]) == best
-    assert got == [0, *[i + 1 for i, c in enumerate(costs) if c > 1.0]]
+    n = len(items)
+    best = min(cost(items, [0, *c], *costs) for k in range(n) for c in itertools.combinations(range(1, n), k))
+    got = [s for s, _ in segment(items, *costs)]
+    assert abs(cost(items, got, *costs) - best) < 1e-9
+
+
+def test_runs_have_a_form_that_fits_all_of_them():
+    chain = ["abcdefgh", "abcdefg", "abcdef", "abcde", "abcd"]
+    assert [s for s, _ in segment(chain)] in ([0, 2], [0, 3])  # each is near its neighbour, but no form is near all
+    assert segment(["lantrn", "lanten", "lantern"]) == [(0, "lantern")]  # the first two are near the third only
+    assert [s for s, _ in segment(["ab x", "ab y", "ab x"])] == [0, 1, 2]
+    many = [w for i in range(60) for w in (f"word{chr(97 + i % 26)}{'x' * (i // 26 * 3)}", "other")]
+    assert len(segment(many)) == 120
+
+
+@settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.text("abcc1", min_size=1, max_size=6), st.text("abcc1", min_size=1, max_size=6))
+def test_both_comparers_agree(spark_words, a, b):
+    spark_words.append((a, b))
+
+
+def test_comparers_agree_in_the_jvm(spark, spark_words):
+    d = spark.createDataFrame(sorted(set(spark_words)), "a string, b string")
+    got = d.select("a", "b", same_words(F.col("a"), F.col("b")).alias("x")).collect()
+    assert [(r["a"], r["b"]) for r in got if r["x"] != (dissimilarity(r["a"], r["b"]) < float("inf"))] == []
 
 
 NAMES = NameModel(["Kelvuta", "Kelvira", "Myrruta", "Myrrira", "Zoruta", "Zorira", "Kelvek", "Myrrek", "Zorek"],
