@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from chatloom.llm.tokens import TOKENIZER, with_tokens
 from chatloom.session import cut_lineage
 
-__all__ = ["source_name", "water_fill", "mix", "shares"]
+__all__ = ["source_name", "water_fill", "mix", "shares", "limits"]
 
 BUCKETS = 65_536
+#: Sources with a target, at most: their weights and sizes are read to the driver.
+MOST_SOURCES = 10_000
 
 
 def source_name(source: Column) -> Column:
@@ -47,7 +49,7 @@ def water_fill(sizes: dict[str, int], weights: dict[str, float], most: dict[str,
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id, source, n_tokens, copies``: the documents of the mixture, each with how often it is used.
 
-    *targets* (``source, weight, max_repeats``) is a small table; the tokens of each source in it are summed up over all
+    *targets* (``source, weight, max_repeats``) is a small table, refused beyond ``MOST_SOURCES`` rows; the tokens of each source in it are summed up over all
     documents. The mixture has *total_tokens*, by default as many as its sources have. A source that gives k times its
     tokens and a fraction has every document k times, and of a seeded random order of its documents those
     once more that come first, until the fraction is reached (to within one document, the last one's excess
@@ -57,7 +59,9 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     of no tokens, are left out; targets without documents give their weight to the others; repeated targets
     count with their sums of weights and the least repeats; null weights are 0; without documents or targets no rows.
     """
-    t = targets.where(F.col("source").isNotNull()).groupBy(source_name(F.col("source")).alias("s")).agg(F.sum("weight").alias("w"), F.min("max_repeats").alias("m")).collect()
+    t = targets.where(F.col("source").isNotNull()).groupBy(source_name(F.col("source")).alias("s")).agg(F.sum("weight").alias("w"), F.min("max_repeats").alias("m")).limit(MOST_SOURCES + 1).collect()
+    if len(t) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     weights = {r.s: float(r.w or 0.0) for r in t}
     most = {r.s: int(r.m or 0) for r in t}
     d = with_tokens(documents, tokenizer).select("doc_id", source_name(F.col("source")).alias("source"), "n_tokens")
@@ -94,3 +98,16 @@ def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     d = t.join(m, "source", "left").fillna(0, ["tokens", "documents", "most_copies"])
     all_ = F.sum("tokens").over(W.partitionBy())  # one row per target
     return d.select("source", "target_share", F.coalesce(F.try_divide("tokens", all_), F.lit(0.0)).alias("actual_share"), "tokens", "documents", "most_copies")
+
+
+def limits(mixture: DataFrame, documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """``source, available, over, unknown`` of every target: its documents with a text, those of the mixture that are
+    used more often than is allowed, and those that aren't the source's (both should be none)."""
+    t = targets.where(F.col("source").isNotNull()).groupBy(source_name(F.col("source")).alias("source")).agg(F.min("max_repeats").alias("most"))
+    d = documents.where(F.coalesce(F.length("text"), F.lit(0)) > 0).select("doc_id", source_name(F.col("source")).alias("source"))
+    m = mixture.select("doc_id", F.col("source").alias("mixed"), "copies")
+    d = d.join(m, "doc_id", "left").groupBy("source").agg(
+        F.count(F.lit(1)).alias("available"), F.max("copies").alias("copies"), F.count_if(F.col("mixed") != F.col("source")).alias("unknown")
+    )
+    d = t.join(d, "source", "left")
+    return d.select("source", F.coalesce("available", F.lit(0)).alias("available"), F.coalesce(F.col("copies") > F.col("most"), F.lit(False)).alias("over"), F.coalesce("unknown", F.lit(0)).alias("unknown"))

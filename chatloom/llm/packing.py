@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from chatloom.llm.tokens import TOKENIZER, with_tokens
 from chatloom.session import cut_lineage
 
-__all__ = ["best_fit", "pieces", "pack", "containers_used", "utilisation"]
+__all__ = ["best_fit", "pieces", "pack", "containers_used", "utilisation", "coverage"]
 
 #: Documents a container may hold: one per so many tokens of its capacity.
-TOKENS_PER_DOCUMENT = 8
+TOKENS_PER_DOCUMENT = 16
+#: Attention cost that a container may hold, as a share of the square of its tokens: what one text of 95 % of it costs.
+COST_SHARE = 0.9
+#: Kinds of containers, at most: their table is read to the driver.
+MOST_KINDS = 1000
 #: Items that are packed together; more make no better fit worth the time, fewer leave more half-filled containers.
 SHARD_ITEMS = 8192
 
@@ -62,9 +66,12 @@ def pieces(sized: DataFrame, containers: DataFrame) -> DataFrame:
     """``container_kind, capacity, doc_id, piece, token_start, token_end``: each document for each kind of container.
 
     A document that fits stays whole; a longer one is cut, from its start, into pieces of the whole capacity and a
-    rest. Kinds without a positive capacity take nothing. *containers* is a fixed small table.
+    rest. Kinds without a positive capacity take nothing. *containers* is a small table; one of more than
+    ``MOST_KINDS`` rows is refused, as each document has rows for each kind anyway.
     """
-    kinds = containers.where(F.col("capacity_tokens") > 0).select("container_kind", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct().collect()
+    kinds = containers.where(F.col("capacity_tokens") > 0).select("container_kind", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct().limit(MOST_KINDS + 1).collect()
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
     if not kinds:
         empty = F.array().cast("array<struct<container_kind:string,capacity:bigint>>")
     else:
@@ -76,7 +83,7 @@ def pieces(sized: DataFrame, containers: DataFrame) -> DataFrame:
     return d.select("container_kind", "capacity", "doc_id", "piece", start.alias("token_start"), F.least(start + F.col("capacity"), F.col("n_tokens")).alias("token_end"))
 
 
-def pack(documents: DataFrame, containers: DataFrame, tokenizer: str = TOKENIZER, rule: str = "norm", shard_items: int = SHARD_ITEMS, tokens_per_document: int = TOKENS_PER_DOCUMENT, cost_share: float = 1.0) -> DataFrame:
+def pack(documents: DataFrame, containers: DataFrame, tokenizer: str = TOKENIZER, rule: str = "norm", shard_items: int = SHARD_ITEMS, tokens_per_document: int = TOKENS_PER_DOCUMENT, cost_share: float = COST_SHARE) -> DataFrame:
     """``container_kind, container_id, doc_id, piece, token_start, token_end``: every text for each kind of container.
 
     Texts are measured once; only keys and sizes are shuffled. They are dealt by hash to shards of about *shard_items*
@@ -86,8 +93,9 @@ def pack(documents: DataFrame, containers: DataFrame, tokenizer: str = TOKENIZER
 
     Defined cases: null and empty texts are items of size 0; repeated texts are items of their own; equal sizes are
     taken in the order of their keys, so the result is the same each time; no documents, no rows. ``doc_id`` must be
-    unique and may be null once; other columns are ignored. The capacity of attention cost is *cost_share* of the square of
-    the tokens': at 1 it never binds, as no sum of squares exceeds the square of the sum; below, it does.
+    unique and may be null once; other columns are ignored. A container holds at most *cost_share* of the
+    square of its tokens as attention cost (the sum of the squares of its texts' sizes), so a text of nearly its size is
+    left alone, and one document per *tokens_per_document* tokens; a text alone may exceed both.
     """
     kind = dict(documents.dtypes)["doc_id"]
     # Keys are text on their way through Python, where whole numbers beside nulls would become floating-point ones.
@@ -118,9 +126,29 @@ def containers_used(packed: DataFrame) -> DataFrame:
     return packed.groupBy("container_kind", "container_id").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum(n).alias("n_tokens"), F.sum(n * n).alias("attention_cost"))
 
 
-def utilisation(packed: DataFrame, containers: DataFrame) -> DataFrame:
-    """``container_kind, n_containers, least_containers, filled``: how full, and the bound that no packing beats."""
+def utilisation(packed: DataFrame, containers: DataFrame, tokens_per_document: int = TOKENS_PER_DOCUMENT, cost_share: float = COST_SHARE) -> DataFrame:
+    """``container_kind, n_containers, least_containers, filled, bound_by_documents, bound_by_cost``.
+
+    How full, the bound that no packing beats, and how many containers are closed by their number of documents, or by
+    attention cost: where a text that would fill the room left costs more than what is left of it.
+    """
     c = containers.select("container_kind", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct()
-    u = containers_used(packed).groupBy("container_kind").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
-    u = u.join(F.broadcast(c), "container_kind")  # a fixed table of container kinds
-    return u.select("container_kind", "n_containers", F.ceil(F.col("n_tokens") / F.col("capacity")).alias("least_containers"), (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity"))).alias("filled"))
+    u = containers_used(packed).join(F.broadcast(c.limit(MOST_KINDS)), "container_kind")  # a container for each kind was made of no more
+    room = F.col("capacity") - F.col("n_tokens")
+    documents = F.col("n_pieces") >= F.greatest(F.lit(1), F.floor(F.col("capacity") / tokens_per_document))
+    cost = (room > 0) & (cost_share * F.col("capacity") * F.col("capacity") - F.col("attention_cost") < room * room)
+    u = u.groupBy("container_kind", "capacity").agg(
+        F.count(F.lit(1)).alias("n_containers"), F.sum("n_tokens").alias("n_tokens"), F.count_if(documents & (room > 0)).alias("bound_by_documents"), F.count_if(cost).alias("bound_by_cost")
+    )
+    return u.select(
+        "container_kind", "n_containers", F.ceil(F.col("n_tokens") / F.col("capacity")).alias("least_containers"), (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity"))).alias("filled"),
+        "bound_by_documents", "bound_by_cost",
+    )
+
+
+def coverage(packed: DataFrame) -> DataFrame:
+    """``container_kind, doc_id, whole``: whether a document's pieces lie in containers once each, without gaps."""
+    n = F.count(F.lit(1))
+    return packed.groupBy("container_kind", "doc_id").agg(
+        ((n == F.max("piece") + 1) & (F.count_distinct("piece") == n) & (F.sum(F.col("token_end") - F.col("token_start")) == F.max("token_end")) & (F.min("token_start") == 0)).alias("whole")
+    )

@@ -6,8 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chatloom.llm.mixing import mix, shares, water_fill
-from chatloom.llm.packing import best_fit, containers_used, pack, utilisation
+from chatloom.llm.mixing import limits, mix, shares, water_fill
+from chatloom.llm.packing import best_fit, containers_used, coverage, pack, utilisation
 from chatloom.llm.tokens import encoding, with_tokens
 
 
@@ -38,6 +38,9 @@ def test_best_fit_is_tight():
 def test_pack_keeps_a_cost_that_binds(spark):
     kinds = spark.createDataFrame([("large", 512)], "container_kind string, capacity_tokens int")
     d = docs(spark, 120)
+    assert utilisation(pack(d, kinds, tokens_per_document=100), kinds, tokens_per_document=100).first()["bound_by_documents"] > 0
+    assert containers_used(pack(d, kinds, tokens_per_document=100)).where("n_pieces > 5").count() == 0
+    assert utilisation(pack(d, kinds, cost_share=0.25), kinds, cost_share=0.25).first()["bound_by_cost"] > 0
     used = {share: containers_used(pack(d, kinds, cost_share=share)).collect() for share in (1.0, 0.25)}
     assert all(r["n_pieces"] == 1 or r["attention_cost"] <= 0.25 * 512**2 for r in used[0.25])
     assert any(r["n_pieces"] > 1 and r["attention_cost"] > 0.25 * 512**2 for r in used[1.0])
@@ -73,6 +76,7 @@ def test_pack_covers_every_text_once(spark):
             assert used.where((F.col("n_tokens") > cap) | (F.col("attention_cost") > cap**2)).count() == 0
         u = {r["container_kind"]: r for r in utilisation(packed, kinds).collect()}
         assert u["large"]["filled"] > (0.85 if shard == 50 else 0.95)
+        assert coverage(packed).where("NOT whole").count() == 0 and coverage(packed.where("piece > 0")).where("whole").count() == 0
     assert pack(d.limit(0), kinds).count() == 0
 
 
@@ -108,6 +112,8 @@ def test_mix(spark):
     assert max(r["copies"] for r in rows if r["source"] == "a") <= 3 and max(r["copies"] for r in rows if r["source"] == "b") <= 1
     s = {r["source"]: r for r in shares(m, targets).collect()}
     assert set(s) == {"a", "b", "gone"} and s["gone"]["tokens"] == 0
+    assert {r["source"]: (r["over"], r["unknown"]) for r in limits(m, d, targets).collect()} == dict.fromkeys(("a", "b", "gone"), (False, 0))
+    assert limits(m.withColumn("copies", F.lit(9)), d, targets).where("over").count() == 2
     a, b = s["a"]["tokens"], s["b"]["tokens"]
     have = {k: sum(n for r, n in ((x, sizes[x["doc_id"]]) for x in d.collect()) if (r["source"] or "").strip().lower() == k) for k in ("a", "b")}
     want = water_fill(have, {"a": 0.5, "b": 0.3, "gone": 0.2}, {"a": 3, "b": 1, "gone": 2}, have["a"] + have["b"])
