@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from chatloom.llm.encoding import Ciphers, Language, Reader, repair
+from chatloom.llm.encoding import Ciphers, Language, Reader, learn_substitution, repair
 from chatloom.llm import quality
 from chatloom.llm.quality import STATISTICS, classify, find_thresholds, text_statistics
 
@@ -160,3 +160,52 @@ def test_statistics(spark):
             text_statistics(d, common)
         finally:
             quality.MOST_WORDS = most
+
+
+def test_an_unknown_page_is_learnt_from_bigrams_alone():
+    """A page that no table holds: every letter is swapped for another character, and only texts under the swap are given."""
+    r = random.Random(4)
+    words = "нас было человек каждый хотел взять лампу мне кажется что расписание лучше искать на кухне спасибо большое до завтра они обещали вернуть зонтик через неделю тогда к вечеру там и не уверен".split()
+    text = lambda: " ".join(r.choice(words) for _ in range(7))
+    known: Counter = Counter()
+    for _ in range(3000):
+        Language.count(text(), known)
+    letters = sorted({c for w in words for c in w})
+    shuffled = letters[7:] + letters[:7]
+    swap = str.maketrans(dict(zip(letters, [chr(0x3B1 + i) for i in range(len(shuffled))])))
+    pairs: Counter = Counter()
+    hidden = [text() for _ in range(200)]
+    for t in hidden:
+        for w in t.translate(swap).split():
+            for x, y in zip(" " + w, w + " "):
+                pairs[x + y] += 1
+    table = learn_substitution(pairs, known)
+    got = [t.translate(swap).translate(table) for t in hidden]
+    assert sum(a == b for g, t in zip(got, hidden) for a, b in zip(g, t)) >= 0.95 * sum(map(len, hidden))
+    assert learn_substitution({}, known) == {} and learn_substitution(pairs, {}) == {}
+    reader = Reader(Language(known), {}, {}, {"s": {"learnt1": table}})
+    assert reader.repair(hidden[0].translate(swap), "s")[0] == hidden[0].translate(swap).translate(table)
+
+
+def test_layers_and_pages_are_taken_off_one_after_the_other():
+    pairs = Counter()
+    for t in [*RU, *ES]:
+        Language.count(t.format(7), pairs, 300.0)
+    reader = Reader(Language(pairs), {}, {})
+    text = ES[0].format(3)
+    for n in range(1, 6):
+        bad = text
+        for _ in range(n):
+            bad = bad.encode().decode("latin-1")
+        assert reader.repair(bad, "s")[0] == text
+    twice = RU[0].format(3).encode("koi8_r").decode("cp1251").encode().decode("latin-1")
+    assert reader.repair(twice, "s")[0] == RU[0].format(3)
+
+
+def test_symbols_without_their_other_bytes(spark):
+    d, _ = table(spark)
+    bad = ["nubeâ  gris", "el mismo. â reallyâ¦", "reallyâ ¦"]
+    fine = ["É isso aí ã, õ, â, ê: 12 sinais", "la pâte, l'âge", "voilâ", "âge"]
+    more = spark.createDataFrame([(1000 + i, "es", None, t) for i, t in enumerate([*bad, *fine])], d.schema)
+    chats = spark.createDataFrame([("ru", "ru"), ("es", "es")], "chat_id string, lang string")
+    assert {r["rec_id"] for r in repair(d.unionByName(more), chats).where("rec_id >= 1000").collect()} == {1000, 1001, 1002}
