@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chatloom.session import fresh
+from chatloom.session import cut_lineage, fresh
 
 __all__ = ["number_id", "frequencies", "deduplicate", "repeated_ids"]
 
@@ -39,25 +39,37 @@ def repeated_ids(df: DataFrame, keys: list[str], out: str = "copies") -> DataFra
     return frequencies(df, keys, out).where(F.col(out) > 1)
 
 
-def deduplicate(df: DataFrame, keys: list[str], order: list[Column], stored: DataFrame | None = None) -> DataFrame:
+#: Marked keys, at most, that are broadcast; more are joined by shuffle.
+FEW_MARKED = 100_000
+
+
+def deduplicate(df: DataFrame, keys: list[str], order: list[Column], stored: DataFrame | None = None, mark: str | None = None) -> DataFrame:
     """One row per key: the first in *order*, which should end in a unique column.
 
-    Identifiers are split by their frequency. Singletons pass as they are; only rows of repeated identifiers are
-    ranked, and since just the first rank is asked for, Spark cuts each group within the map tasks before it
-    shuffles (``WindowGroupLimit``): a key that a third of the rows have sends one row per task. Both results are
-    united.
+    Identifiers are split by their frequency, which is counted over the keys alone, those of stored and of new messages
+    together. Keys that come again or are stored are marked; rows meet the marks in one join. As long as there are no
+    more than ``FEW_MARKED`` marks (they are written and counted first) they are broadcast, so that singletons pass
+    without a shuffle; beyond that the join shuffles. Only rows of repeated identifiers are ranked, and since just the
+    first rank is asked for, Spark cuts each group within the map tasks before it shuffles (``WindowGroupLimit``): a key
+    that a third of the rows have sends one row per task. Both results are united.
 
     Defined cases: rows with a null in any key column are left alone, all of them. Ties in *order* leave one row,
-    whichever Spark meets first. With *stored* (earlier results, same columns) identifiers kept there win over those
-    of *df* and the result holds only what is new. Empty input gives an empty result; other columns stay.
+    whichever Spark meets first. With *stored* (earlier results) identifiers kept there win over those of *df* and the
+    result holds only what is new. *mark* adds a column of that name with the number of rows that *df* has of the key
+    (1 for rows without a key). Empty input gives an empty result; other columns stay.
     """
+    (copies, known, rank) = fresh(df, "copies", "known", "rank")
+    key = [F.col(f"`{k}`") for k in keys]
+    counted = frequencies(df, keys, copies).withColumn(known, F.lit(False))
     if stored is not None:
-        both = [stored[f"`{k}`"] for k in keys]
-        df = df.join(stored.select(*both).distinct(), [*keys], "left_anti")
-    (copies, rank) = fresh(df, "copies", "rank")
-    repeated = repeated_ids(df, keys, copies).select(*[F.col(f"`{k}`") for k in keys])
-    single = df.join(repeated, [*keys], "left_anti").select(*df.columns)
-    groups = df.join(repeated, [*keys], "left_semi")
-    window = W.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*order)
-    first = groups.withColumn(rank, F.row_number().over(window)).where(F.col(rank) == 1).select(*df.columns)
-    return single.unionByName(first)
+        old = frequencies(stored, keys, copies).withColumns({copies: F.lit(0).cast("bigint"), known: F.lit(True)})
+        counted = counted.unionByName(old).groupBy(*key).agg(F.sum(copies).alias(copies), F.bool_or(known).alias(known)).where(F.col(copies) > 0)
+    marks = cut_lineage(counted.where((F.col(copies) > 1) | F.col(known)))
+    if marks.count() <= FEW_MARKED:
+        marks = F.broadcast(marks)
+    seen = df.join(marks, [*keys], "left")
+    many = lambda c: [*df.columns, *([c.alias(mark)] if mark else [])]
+    single = seen.where(F.col(copies).isNull()).select(*many(F.lit(1).cast("bigint")))
+    groups = df.join(marks.where(~F.col(known)) if stored is not None else marks, [*keys])
+    first = groups.withColumn(rank, F.row_number().over(W.partitionBy(*key).orderBy(*order))).where(F.col(rank) == 1)
+    return single.unionByName(first.select(*many(F.col(copies))))

@@ -37,34 +37,56 @@ def p4_discord(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    m = dedup.repeated_ids(read_table(spark, d, "messages"), ["chat_id", "id"])
-    r = dedup.repeated_ids(_numbered(spark, d), ["chat_id", "id_number"]).withColumnRenamed("id_number", "id")
-    pick = lambda src, x: x.select(F.lit(src).alias("src"), "chat_id", F.col("id").cast("decimal(20,0)").cast("string").alias("id"))
+    """The keys of the rows that were kept one of several of."""
+    order = [F.col("batch_no"), F.col("received_at"), F.col("row_id")]
+    m = dedup.deduplicate(read_table(spark, d, "messages"), ["chat_id", "id"], order, mark="copies")
+    r = dedup.deduplicate(_numbered(spark, d).drop("id"), ["chat_id", "id_number"], [F.col("batch_no"), F.col("rec_id")], mark="copies").withColumnRenamed("id_number", "id")
+    pick = lambda src, x: x.where(F.col("copies") > 1).select(F.lit(src).alias("src"), "chat_id", F.col("id").cast("decimal(20,0)").cast("string").alias("id"))
     return pick("messages", m).unionByName(pick("discord_raw", r))
 
 
+def p4_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """What the deliveries after the twentieth batch add to the messages kept from the first twenty."""
+    m = read_table(spark, d, "messages")
+    order = [F.col("batch_no"), F.col("received_at"), F.col("row_id")]
+    stored = dedup.deduplicate(m.where(F.col("batch_no") <= 20), ["chat_id", "id"], order)
+    new = dedup.deduplicate(m.where(F.col("batch_no") > 20), ["chat_id", "id"], order, stored=stored)
+    return new.select("row_id", "chat_id", "seq", F.col("id").cast("string").alias("id"), "batch_no")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.nested_nodes(*_raws(spark, d))
+    return flatten.nested_nodes(*_raws(spark, d)).select("src", "rec_id", "path")
+
+
+def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Every node with its label, its parent and its table."""
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ".")
+    return flatten.nested_nodes(*_raws(spark, d)).withColumns({"label": text("label"), "parent_label": text("parent_label")})
+
+
+def _labels(df: DataFrame) -> DataFrame:
+    """Labels as text, which every engine compares alike."""
+    return df.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ".") for c in ("label", "parent_label", "dewey") if c in df.columns})
 
 
 def p5_text(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.telegram_text_table(read_table(spark, d, "telegram_raw")).withColumn("dewey", F.array_join(F.col("dewey").cast("array<string>"), "."))
+    return _labels(flatten.telegram_text_table(read_table(spark, d, "telegram_raw")))
 
 
 def p5_authors(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.discord_author_table(read_table(spark, d, "discord_raw"))
+    return _labels(flatten.discord_author_table(read_table(spark, d, "discord_raw")))
 
 
 def p5_roles(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.discord_role_table(read_table(spark, d, "discord_raw"))
+    return _labels(flatten.discord_role_table(read_table(spark, d, "discord_raw")))
 
 
 def p5_attachments(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.discord_attachment_table(read_table(spark, d, "discord_raw"))
+    return _labels(flatten.discord_attachment_table(read_table(spark, d, "discord_raw")))
 
 
 def p5_shares(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.instagram_share_table(read_table(spark, d, "instagram_raw"))
+    return _labels(flatten.instagram_share_table(read_table(spark, d, "instagram_raw")))
 
 
 def _sent(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +104,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_instants, p4_found, p4_messages, p4_discord, p5_found, p5_text, p5_authors, p5_roles, p5_attachments, p5_shares,
+        p1_found, p1_instants, p4_found, p4_messages, p4_discord, p4_incremental, p5_found, p5_nodes, p5_text, p5_authors, p5_roles, p5_attachments, p5_shares,
         p7_found, p7_sessions,
     )
 }
@@ -91,9 +113,9 @@ QUERIES = {
 _NUMBER = "CASE WHEN regexp_full_match({0}, '\\+?[0-9]+') THEN TRY_CAST({0} AS HUGEINT) END"
 _CHILD = "SELECT rec_id, unnest(range(len({0}))) AS i, unnest({0}) AS e FROM discord_raw{1}"
 _TEXT = """WITH RECURSIVE n(rec_id, path, dewey, e) AS (
-SELECT rec_id, 'text[' || i || ']', [i], e FROM (SELECT rec_id, unnest(range(len(a))) AS i, unnest(a) AS e FROM (SELECT rec_id, CAST(CAST(text AS JSON) AS JSON[]) AS a FROM telegram_raw WHERE json_valid(text) AND json_type(text) = 'ARRAY'))
+SELECT rec_id, 'text[' || i || ']', [7, i], e FROM (SELECT rec_id, unnest(range(len(a))) AS i, unnest(a) AS e FROM (SELECT rec_id, CAST(CAST(text AS JSON) AS JSON[]) AS a FROM telegram_raw WHERE json_valid(text) AND json_type(text) = 'ARRAY'))
 UNION ALL
-SELECT rec_id, path || '.text[' || i || ']', list_append(dewey, i), e FROM (SELECT rec_id, path, dewey, unnest(range(len(a))) AS i, unnest(a) AS e FROM (SELECT rec_id, path, dewey, CAST(e -> '$.text' AS JSON[]) AS a FROM n WHERE json_type(e) = 'OBJECT' AND json_type(e, '$.text') = 'ARRAY')))
+SELECT rec_id, path || '.text[' || i || ']', list_concat(dewey, [0, i]), e FROM (SELECT rec_id, path, dewey, unnest(range(len(a))) AS i, unnest(a) AS e FROM (SELECT rec_id, path, dewey, CAST(e -> '$.text' AS JSON[]) AS a FROM n WHERE json_type(e) = 'OBJECT' AND json_type(e, '$.text') = 'ARRAY')))
 """
 _SESSIONS = """SELECT chat_id, sender, MIN(us) AS start_us, MAX(us) AS end_us, COUNT(*) AS n FROM (
 SELECT *, SUM(cut) OVER (PARTITION BY chat_id, sender ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS k FROM (
@@ -110,14 +132,21 @@ UNION ALL SELECT 'discord_raw', rec_id, 'author' FROM discord_raw WHERE author I
 UNION ALL SELECT 'discord_raw', rec_id, 'author.roles[' || i || ']' FROM (""" + _CHILD.format("author.roles", " WHERE author IS NOT NULL") + """) WHERE e IS NOT NULL
 UNION ALL SELECT 'discord_raw', rec_id, 'attachments[' || i || ']' FROM (""" + _CHILD.format("attachments", "") + """) WHERE e IS NOT NULL
 UNION ALL SELECT 'instagram_raw', rec_id, 'share' FROM instagram_raw WHERE share IS NOT NULL""",
-    "p5_text": _TEXT + """SELECT rec_id, path, CASE WHEN len(dewey) > 1 THEN regexp_replace(path, '\\.text\\[[0-9]+\\]$', '') END AS parent_path, CAST(dewey[len(dewey)] AS INTEGER) AS place,
+    "p5_text": _TEXT + """SELECT rec_id, path, CASE WHEN len(dewey) > 2 THEN regexp_replace(path, '\\.text\\[[0-9]+\\]$', '') END AS parent_path, CAST(dewey[len(dewey)] AS INTEGER) AS place,
 array_to_string(dewey, '.') AS dewey, CASE json_type(e) WHEN 'VARCHAR' THEN 'string' ELSE 'object' END AS kind, CASE WHEN json_type(e, '$.type') = 'VARCHAR' THEN e ->> '$.type' END AS type,
 CASE WHEN json_type(e) = 'VARCHAR' THEN e ->> '$' WHEN json_type(e, '$.text') = 'VARCHAR' THEN e ->> '$.text' END AS value, CASE WHEN json_type(e, '$.href') = 'VARCHAR' THEN e ->> '$.href' END AS href
 FROM n WHERE json_type(e) IN ('VARCHAR', 'OBJECT')""",
-    "p5_authors": "SELECT rec_id, 'author' AS path, author.id AS author_id, author.name AS name, author.nickname AS nickname FROM discord_raw WHERE author IS NOT NULL",
-    "p5_roles": "SELECT rec_id, 'author.roles[' || i || ']' AS path, 'author' AS parent_path, CAST(i AS INTEGER) AS place, e.id AS role_id, e.name AS name FROM (" + _CHILD.format("author.roles", " WHERE author IS NOT NULL") + ") WHERE e IS NOT NULL",
-    "p5_attachments": "SELECT rec_id, 'attachments[' || i || ']' AS path, CAST(i AS INTEGER) AS place, e.id AS attachment_id, e.url AS url, e.fileName AS file_name, e.fileSizeBytes AS file_size FROM (" + _CHILD.format("attachments", "") + ") WHERE e IS NOT NULL",
-    "p5_shares": "SELECT rec_id, 'share' AS path, share.link AS link, share.share_text AS share_text FROM instagram_raw WHERE share IS NOT NULL",
+    "p5_nodes": _TEXT + """, c AS (SELECT 'telegram_raw' AS src, rec_id, array_to_string(dewey, '.') AS label, array_to_string(dewey[:-3], '.') AS parent, path FROM n WHERE json_type(e) IN ('VARCHAR', 'OBJECT')
+UNION ALL SELECT 'discord_raw', rec_id, '8.0', '', 'author' FROM discord_raw WHERE author IS NOT NULL
+UNION ALL SELECT 'discord_raw', rec_id, '8.0.3.' || i, '8.0', 'author.roles[' || i || ']' FROM (""" + _CHILD.format("author.roles", " WHERE author IS NOT NULL") + """) WHERE e IS NOT NULL
+UNION ALL SELECT 'discord_raw', rec_id, '10.' || i, '', 'attachments[' || i || ']' FROM (""" + _CHILD.format("attachments", "") + """) WHERE e IS NOT NULL
+UNION ALL SELECT 'instagram_raw', rec_id, '6.0', '', 'share' FROM instagram_raw WHERE share IS NOT NULL)
+SELECT src, rec_id, regexp_replace(path, '\\[[0-9]+\\]', '', 'g') AS "table", label, nullif(parent, '') AS parent_label, path, CASE WHEN parent <> '' THEN regexp_replace(path, '\\.[^.]*$', '') END AS parent_path FROM c""",
+    "p5_authors": "SELECT rec_id, '8.0' AS label, CAST(NULL AS VARCHAR) AS parent_label, 'author' AS path, author.id AS author_id, author.name AS name, author.nickname AS nickname FROM discord_raw WHERE author IS NOT NULL",
+    "p5_roles": "SELECT rec_id, '8.0.3.' || i AS label, '8.0' AS parent_label, 'author.roles[' || i || ']' AS path, 'author' AS parent_path, CAST(i AS INTEGER) AS place, e.id AS role_id, e.name AS name FROM (" + _CHILD.format("author.roles", " WHERE author IS NOT NULL") + ") WHERE e IS NOT NULL",
+    "p5_attachments": "SELECT rec_id, '10.' || i AS label, CAST(NULL AS VARCHAR) AS parent_label, 'attachments[' || i || ']' AS path, CAST(i AS INTEGER) AS place, e.id AS attachment_id, e.url AS url, e.fileName AS file_name, e.fileSizeBytes AS file_size FROM (" + _CHILD.format("attachments", "") + ") WHERE e IS NOT NULL",
+    "p5_shares": "SELECT rec_id, '6.0' AS label, CAST(NULL AS VARCHAR) AS parent_label, 'share' AS path, share.link AS link, share.share_text AS share_text FROM instagram_raw WHERE share IS NOT NULL",
+    "p4_incremental": "SELECT row_id, chat_id, seq, CAST(id AS VARCHAR) AS id, batch_no FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY chat_id, id ORDER BY batch_no, received_at, row_id) AS k FROM messages WHERE batch_no > 20) n WHERE id IS NULL OR (k = 1 AND NOT EXISTS (SELECT 1 FROM messages o WHERE o.batch_no <= 20 AND o.chat_id = n.chat_id AND o.id = n.id))",
     "p7_found": f"SELECT chat_id, sender, start_us, end_us FROM ({_SESSIONS})",
     "p7_sessions": f"SELECT chat_id, sender, start_us, end_us, end_us - start_us AS duration_us, n AS n_events FROM ({_SESSIONS})",
 }

@@ -36,6 +36,15 @@ DISCORD_RECORD = (
     "STRUCT<id: STRING, timestamp: STRING, timestampEdited: STRING, content: STRING, author: STRUCT<name: STRING, nickname: STRING>, "
     "reference: STRUCT<messageId: STRING>, attachments: ARRAY<STRUCT<fileName: STRING>>, stickers: ARRAY<STRUCT<name: STRING>>>"
 )
+# Of which JSON types a record's fields may be; a field that is absent may be so only where null is among them.
+_TEXT, _TEXT_OR_NULL, _NUMBER_OR_NULL = {"STRING"}, {"STRING", "VOID"}, {"BIGINT", "VOID"}
+STRICT = {
+    "Telegram": {"type": _TEXT, "date_unixtime": _TEXT_OR_NULL, "from": _TEXT_OR_NULL, "edited_unixtime": _TEXT_OR_NULL, "id": _NUMBER_OR_NULL, "reply_to_message_id": _NUMBER_OR_NULL},
+    "Instagram": {"sender_name": _TEXT, "timestamp_ms": {"BIGINT"}, "content": _TEXT_OR_NULL, "share.link": _TEXT_OR_NULL, "share.share_text": _TEXT_OR_NULL},
+    "Discord": {
+        "id": _TEXT, "timestamp": _TEXT, "content": _TEXT, "author.name": _TEXT, "author.nickname": _TEXT_OR_NULL, "timestampEdited": _TEXT_OR_NULL, "reference.messageId": _TEXT_OR_NULL,
+    },
+}
 
 
 def message(sender: Column, content: Column, timestamp: Column | None = None, id: Column | None = None, reply_to: Column | None = None, edited: Column | None = None) -> Column:

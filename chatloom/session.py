@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder every executor can see.
 
     A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a
-    temporary folder is made and set.
+    temporary folder is made and set, which goes when the process ends.
     """
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
@@ -45,7 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = os.path.join(tempfile.gettempdir(), f"chatloom-{uuid.uuid4().hex}")
+        named = tempfile.mkdtemp(prefix="chatloom-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -1,13 +1,15 @@
 import json
 import random
 
+import pytest
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chatloom.operators.dedup import deduplicate, number_id, repeated_ids
 from chatloom.operators.flatten import (
-    discord_attachment_table, discord_author_table, discord_role_table, instagram_share_table, nested_nodes, telegram_text_table, text_nodes,
+    _read_deep, discord_attachment_table, discord_author_table, discord_role_table, instagram_share_table, nested_nodes, nodes, table_of, telegram_text_table, text_nodes,
 )
 from chatloom.operators.sessions import is_blank, sessionize
 
@@ -77,6 +79,14 @@ def test_sessions_edges(spark):
     assert [r["n_events"] for r in sessionize(e, ["k"], "ts", event="seq").collect()] == [2]
 
 
+def test_deduplicate_marks(spark):
+    d = spark.createDataFrame([(1, "b"), (1, "a"), (2, "x"), (None, "n"), (None, "n"), (3, "q")], "id int, v string").withColumns({"__copies": F.lit(7), "__known": F.lit(8)})
+    got = sorted((str(r["id"]), r["v"], r["n"]) for r in deduplicate(d, ["id"], [F.col("v")], mark="n").collect())
+    assert got == [("1", "a", 2), ("2", "x", 1), ("3", "q", 1), ("None", "n", 1), ("None", "n", 1)]
+    stored = spark.createDataFrame([(2,), (9,), (9,), (None,)], "id int")
+    assert sorted(str(r["id"]) for r in deduplicate(d, ["id"], [F.col("v")], stored=stored).collect()) == ["1", "3", "None", "None"]
+
+
 def test_is_blank(spark):
     d = spark.createDataFrame([(t,) for t in (None, "", " ", "\t\n", " ", "​", "x", "☕")], "t string")
     assert [r[0] for r in d.select(is_blank(F.col("t"))).collect()] == [True] * 6 + [False] * 2
@@ -86,12 +96,24 @@ def test_text_nodes():
     t = ["a", 7, None, {"type": "b", "text": "x", "href": "h"}, {"text": ["q", {"text": ["r"]}]}, ["no"], True]
     got = {n[0]: n for n in text_nodes(json.dumps(t))}
     assert set(got) == {"text[0]", "text[3]", "text[4]", "text[4].text[0]", "text[4].text[1]", "text[4].text[1].text[0]"}
-    assert got["text[3]"][2:] == ("object", "b", "x", "h") and got["text[4].text[1].text[0]"][1] == [4, 1, 0]
+    assert got["text[3]"][2:] == ("object", "b", "x", "h") and got["text[4].text[1].text[0]"][1] == [0, 4, 0, 1, 0, 0]
     for bad in (None, "", "{}", '"[1]"', "[1", "[NaN]", "12", "null", "[" * 5000):
         assert text_nodes(bad) == []
     assert len(text_nodes("[" + '"a",' * 20000 + '"b"]')) == 20001
 
 
+def test_text_nodes_of_any_depth():
+    n = 3000
+    deep = '[{"text":' * n + '["end", {"a": {}, "b": [], "text": "x"}]' + "}]" * n
+    got = text_nodes(deep)
+    assert len(got) == n + 2 and got[-2][4] == "end" and len(got[-1][1]) == 2 * n + 2
+    for t in ('[1, "a\\"b", {"text": ["q", [], {}, {"x": [1, {"y": null}], "text": []}]}, -2.5e3, true]', "[]", " [ {} ] "):
+        assert _read_deep(t) == json.loads(t, parse_int=float)
+    for bad in ("[1", "[1,]", '{"a" 1}', '{"a": 1', "[1] 2", "[}", "{,}", "", "[NaN]"):
+        with pytest.raises(ValueError):
+            _read_deep(bad)
+
+
 def test_tables(spark):
     tg = spark.createDataFrame([(1, '["a",{"text":["b"]}]'), (2, None), (3, " [ ]"), (3, '["dup"]')], "rec_id bigint, text string")
     rows = {(r["rec_id"], r["path"]): r for r in telegram_text_table(tg).collect()}
@@ -104,7 +126,13 @@ def test_tables(spark):
     assert [r["path"] for r in discord_attachment_table(dc).collect()] == ["attachments[0]", "attachments[2]"]
     ig = spark.createDataFrame([(1, ("l", None)), (2, None)], "rec_id bigint, share struct<link:string,share_text:string>")
     assert [r["rec_id"] for r in instagram_share_table(ig).collect()] == [1]
-    n = {tuple(r) for r in nested_nodes(tg, dc, ig).collect()}
+    n = {tuple(r) for r in nested_nodes(tg, dc, ig).select("src", "rec_id", "path").collect()}
+    labels = {r["path"]: (r["table"], r["label"], r["parent_label"], r["parent_path"]) for r in nested_nodes(tg, dc, ig).where("rec_id = 1").collect()}
+    assert labels["author.roles[1]"] == ("author.roles", [1, 0, 3, 1], [1, 0], "author") and labels["author"] == ("author", [1, 0], None, None)
+    assert labels["text[1].text[0]"] == ("text.text", [1, 1, 0, 0], [1, 1], "text[1]") and labels["attachments[2]"][1:3] == ([2, 2], None)
+    x = spark.createDataFrame([(1, [([1, None, 3], ("v", [None, ("w",)]))])], "rec_id int, a array<struct<p:array<int>,q:struct<r:string,s:array<struct<t:string>>>>>")
+    assert [r["path"] for r in nodes(x, "a").collect()] == ["a[0]", "a[0].p[0]", "a[0].p[2]", "a[0].q", "a[0].q.s[1]"]
+    assert [(r["label"], r["parent_label"], r["node"]["t"]) for r in table_of(x, "a.q.s").collect()] == [([1, 0, 1, 0, 1, 1], [1, 0, 1, 0], "w")]
     assert len(n) == 4 + (1 + 1 + 2 + 1) + 1 and ("discord_raw", 1, "attachments[2]") in n
     assert nested_nodes(tg.limit(0), dc.limit(0), ig.limit(0)).count() == 0
 
