@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,11 +22,11 @@ from chatloom.config import DiscordConfig, InstagramConfig, Platform, TelegramCo
 from chatloom.errors import InvalidFormatError
 from chatloom.functions import text as X
 from chatloom.operators.ordered import running
-from chatloom.schema import DISCORD_RECORD, INSTAGRAM_RECORD, MESSAGE_COLUMNS, TELEGRAM_RECORD, message
+from chatloom.schema import DISCORD_RECORD, INSTAGRAM_RECORD, MESSAGE_COLUMNS, STRICT, TELEGRAM_RECORD, message
 
 __all__ = [
     "telegram_message", "instagram_message", "discord_message", "parse_telegram", "parse_instagram", "parse_discord_json", "parse_discord_jsonl",
-    "parse_discord_txt", "parse_discord_csv", "parse_discord", "parse_whatsapp", "whatsapp_format", "parse_chat", "PARSERS",
+    "parse_discord_txt", "parse_discord_csv", "parse_discord", "parse_whatsapp", "parse_whatsapp_lines", "whatsapp_format", "parse_chat", "PARSERS",
 ]
 
 
@@ -62,36 +63,88 @@ def discord_message(r: Column, config: DiscordConfig = DiscordConfig(), stream:
     return F.when(ok, message(name, content, X.rfc3339(r["timestamp"]), X.u64(r["id"]), X.u64(reply), X.rfc3339(r["timestampEdited"])))
 
 
-# Fields without which a record is malformed.
-_REQUIRED = {
-    "Telegram": lambda r: r["type"].isNotNull(),
-    "Instagram": lambda r: r["sender_name"].isNotNull() & r["timestamp_ms"].isNotNull(),
-    "Discord": lambda r: r["id"].isNotNull() & r["timestamp"].isNotNull() & r["content"].isNotNull() & r["author"]["name"].isNotNull(),
-}
-
-
-def _records(df: DataFrame, platform: str, record: str, on_error: str, largest: int | None = None) -> DataFrame:
+def _strict(platform: str) -> tuple:
+    """The schema under which a record's checked fields keep their JSON types, and a function from such a record to
+    whether it is well-formed and to the record itself. Where a reader coerces numbers to text, records with them would
+    pass; so the types are looked at."""
+    fields = {"Telegram": TELEGRAM_RECORD, "Instagram": INSTAGRAM_RECORD, "Discord": DISCORD_RECORD}[platform]
+    kinds = STRICT[platform]
+    schema = fields
+    for name in {k.rsplit(".", 1)[-1] for k in kinds}:
+        schema = re.sub(rf"(?<![A-Za-z_])(`?{name}`?: )(?:STRING|BIGINT|DECIMAL\(20,0\))", r"\1VARIANT", schema)
+    # Fields of a checked name elsewhere keep their type: the arrays' own names and addresses.
+    schema = re.sub(r"(ARRAY<STRUCT<\w+: )VARIANT", r"\1STRING", schema)
+
+    def get(r: Column, path: str) -> Column:
+        for part in path.split("."):
+            r = r[part]
+        return r
+
+    def check(r: Column) -> Column:
+        tests = []
+        for path, allowed in kinds.items():
+            v = get(r, path)
+            kind = F.schema_of_variant(v)
+            good = kind.isin(sorted(allowed)) | (kind.rlike(r"^DECIMAL\(\d+,0\)$") if "BIGINT" in allowed else F.lit(False))
+            if path in ("id", "reply_to_message_id") and platform == "Telegram":
+                good = good & ~F.coalesce(F.try_variant_get(v, "$", "decimal(38,0)") < 0, F.lit(False))
+            absent = v.isNull() & F.lit("VOID" in allowed)
+            tests.append(absent | F.coalesce(good, F.lit(False)))
+        return reduce(lambda x, y: x & y, tests)
+
+    def value(r: Column, path: str, kind: str) -> Column:
+        return F.try_variant_get(get(r, path), "$", kind).alias(path.rsplit(".", 1)[-1])
+
+    def plain(r: Column) -> Column:
+        if platform == "Telegram":
+            numbers = {"id", "reply_to_message_id"}
+            return F.struct(*[value(r, k, "decimal(20,0)" if k in numbers else "string") for k in kinds], r["text"].alias("text"))
+        if platform == "Instagram":
+            share = F.struct(value(r, "share.share_text", "string"), value(r, "share.link", "string")).alias("share")
+            return F.struct(value(r, "sender_name", "string"), value(r, "timestamp_ms", "bigint"), value(r, "content", "string"), share)
+        author = F.struct(value(r, "author.name", "string"), value(r, "author.nickname", "string")).alias("author")
+        own = [value(r, k, "string") for k in ("id", "timestamp", "timestampEdited", "content")]
+        return F.struct(*own, author, F.struct(value(r, "reference.messageId", "string")).alias("reference"), r["attachments"].alias("attachments"), r["stickers"].alias("stickers"))
+
+    return schema, check, plain
+
+
+_STRICT = {k: _strict(k) for k in STRICT}
+
+
+def _malformed(platform: str) -> Column:
+    return F.raise_error(F.concat(F.lit(f"{platform}: a malformed record in "), "chat_id"))
+
+
+def _records(df: DataFrame, platform: str, on_error: str, largest: int | None = None) -> DataFrame:
     """``chat_id, pos, n, r``: the elements of ``messages``.
 
     To fail, the document is parsed once, as a whole. To skip, it is parsed to the texts of its elements and each of
     them on its own, so one bad record hurts no other and its size can be limited.
     """
     fail = on_error == "fail"
-    d = df.select("chat_id", F.from_json("raw", f"messages ARRAY<{record if fail else 'STRING'}>")["messages"].alias("items"))
+    schema, check, plain = _STRICT[platform]
+    d = df.select("chat_id", F.from_json("raw", f"messages ARRAY<{schema if fail else 'STRING'}>")["messages"].alias("items"))
     if fail:
         bad = F.raise_error(F.concat(F.lit(f"{platform}: no valid document with messages in "), "chat_id"))
         d = d.withColumn("items", F.when(F.col("items").isNotNull(), F.col("items")).otherwise(bad))
     # The outer form, as Spark would move a test of what the inner one explodes in front of other filters. The size is
     # taken before: after it, every element's row would carry the whole array.
     d = d.withColumn("n", F.size("items")).select("chat_id", "n", F.posexplode_outer("items").alias("pos", "r")).where(F.col("pos").isNotNull())
-    if not fail:
+    return _checked(d, platform, on_error, largest)
+
+
+def _checked(d: DataFrame, platform: str, on_error: str, largest: int | None = None) -> DataFrame:
+    """Records as structs; in ``skip`` they come as JSON texts."""
+    schema, check, plain = _STRICT[platform]
+    if on_error == "skip":
         if largest is not None:
             d = d.where(F.octet_length("r") <= largest)
-        d = d.withColumn("r", F.from_json("r", record))
-    whole = F.col("r").isNotNull() & F.coalesce(_REQUIRED[platform](F.col("r")), F.lit(False))
-    if fail:
-        return d.withColumn("r", F.when(whole, F.col("r")).otherwise(F.raise_error(F.concat(F.lit(f"{platform}: a malformed record in "), "chat_id"))))
-    return d.where(whole)
+        d = d.withColumn("r", F.from_json("r", schema))
+    whole = F.col("r").isNotNull() & F.coalesce(check(F.col("r")), F.lit(False))
+    if on_error == "fail":
+        return d.withColumn("r", F.when(whole, plain(F.col("r"))).otherwise(_malformed(platform)))
+    return d.where(whole).withColumn("r", plain(F.col("r")))
 
 
 def _messages(d: DataFrame, m: Column, seq: Column) -> DataFrame:
@@ -106,7 +159,7 @@ def _policy(on_error: str | None, profile: str) -> str:
 
 
 def parse_telegram(df: DataFrame, config: TelegramConfig = TelegramConfig(), on_error: str | None = None, profile: str = "eager") -> DataFrame:
-    d = _records(df, "Telegram", TELEGRAM_RECORD, _policy(on_error, profile), config.max_message_size if profile == "streaming" else None)
+    d = _records(df, "Telegram", _policy(on_error, profile), config.max_message_size if profile == "streaming" else None)
     return _messages(d, telegram_message(F.col("r")), F.col("pos"))
 
 
@@ -114,38 +167,37 @@ def parse_instagram(df: DataFrame, config: InstagramConfig = InstagramConfig(),
     """The export has the newest message first, so places count from its end; the streaming profile keeps file order
     and always repairs the encoding."""
     stream = profile == "streaming"
-    d = _records(df, "Instagram", INSTAGRAM_RECORD, _policy(on_error, profile), config.max_message_size if stream else None)
+    d = _records(df, "Instagram", _policy(on_error, profile), config.max_message_size if stream else None)
     return _messages(d, instagram_message(F.col("r"), stream or config.fix_encoding), F.col("pos") if stream else F.col("n") - 1 - F.col("pos"))
 
 
 def parse_discord_json(df: DataFrame, config: DiscordConfig = DiscordConfig(), on_error: str | None = None, profile: str = "eager") -> DataFrame:
     stream = profile == "streaming"
-    d = _records(df, "Discord", DISCORD_RECORD, _policy(on_error, profile), config.max_message_size if stream else None)
+    d = _records(df, "Discord", _policy(on_error, profile), config.max_message_size if stream else None)
     return _messages(d, discord_message(F.col("r"), config, "json" if stream else None), F.col("pos"))
 
 
 def parse_discord_jsonl(df: DataFrame, config: DiscordConfig = DiscordConfig(), on_error: str = "skip", profile: str = "streaming") -> DataFrame:
     """A record per line; blank lines are none."""
     d = df.select("chat_id", F.posexplode(X.split_lines(F.col("raw"))).alias("pos", "line")).where(X.not_blank(F.col("line")))
-    r = F.when(F.try_parse_json("line").isNotNull() & F.col("line").rlike(r"^\s*\{"), F.from_json("line", DISCORD_RECORD))
-    d = d.withColumn("r", r)
-    good = F.col("r").isNotNull() & F.coalesce(_REQUIRED["Discord"](F.col("r")), F.lit(False))
-    d = d.where(good) if on_error == "skip" else d.withColumn("r", F.when(good, F.col("r")).otherwise(F.raise_error(F.lit("Discord: a malformed line"))))
+    d = _checked(d.select("chat_id", "pos", F.when(F.col("line").rlike(r"^\s*\{") & F.try_parse_json("line").isNotNull(), F.col("line")).alias("r")), "Discord", "skip") if on_error == "skip" else _checked(
+        d.select("chat_id", "pos", F.from_json("line", _STRICT["Discord"][0]).alias("r")), "Discord", "fail"
+    )
     return _messages(d, discord_message(F.col("r"), config, "jsonl" if profile == "streaming" else None), F.col("pos"))
 
 
 # ---- lines ------------------------------------------------------------------------------------------------------
 
 # The line grammar of WhatsApp exports in order of preference, with the groups date, time, sender, text.
-_T = r"\d{2}:\d{2}(?::\d{2})?"
-_REST = r"\s([^:]+):\s?(.*)"
 WHATSAPP_FORMATS = {
-    "US": rf"(?Ud)^\[(\d{{1,2}}/\d{{1,2}}/\d{{2,4}}),\s(\d{{1,2}}:\d{{2}}(?::\d{{2}})?(?:\s?[APap][Mm])?)\]{_REST}",
-    "EuDotBracketed": rf"(?Ud)^\[(\d{{2}}\.\d{{2}}\.\d{{2,4}}),\s({_T})\]{_REST}",
-    "EuDotNoBracket": rf"(?Ud)^(\d{{2}}\.\d{{2}}\.\d{{2,4}}),\s({_T})\s-{_REST}",
-    "EuSlash": rf"(?Ud)^(\d{{2}}/\d{{2}}/\d{{2,4}}),\s({_T})\s-{_REST}",
-    "EuSlashBracketed": rf"(?Ud)^\[(\d{{2}}/\d{{2}}/\d{{2,4}}),\s({_T})\]{_REST}",
+    "US": r"(?Ud)^\[(\d{1,2}/\d{1,2}/\d{2,4}),\s(\d{1,2}:\d{2}(?::\d{2})?(?:\s?[APap][Mm])?)\]\s([^:]+):\s?(.*)",
+    "EuDotBracketed": r"(?Ud)^\[(\d{2}\.\d{2}\.\d{2,4}),\s(\d{2}:\d{2}(?::\d{2})?)\]\s([^:]+):\s?(.*)",
+    "EuDotNoBracket": r"(?Ud)^(\d{2}\.\d{2}\.\d{2,4}),\s(\d{2}:\d{2}(?::\d{2})?)\s-\s([^:]+):\s?(.*)",
+    "EuSlash": r"(?Ud)^(\d{2}/\d{2}/\d{2,4}),\s(\d{2}:\d{2}(?::\d{2})?)\s-\s([^:]+):\s?(.*)",
+    "EuSlashBracketed": r"(?Ud)^\[(\d{2}/\d{2}/\d{2,4}),\s(\d{2}:\d{2}(?::\d{2})?)\]\s([^:]+):\s?(.*)",
 }
+# Characters that no text interchanges (Unicode's noncharacters) mark where messages and sections begin.
+_MARK, _PART = "\ufdd0", "\ufdd1"
 SAMPLE_LINES = 20
 
 
@@ -182,15 +234,81 @@ def _whatsapp_stamp(date: Column, time: Column, form: Column) -> Column:
     return F.when(known, stamp)
 
 
+def _head_format(raw: Column, disambiguate_slash: bool) -> Column:
+    """The format of a document's first lines, inside its row; see :func:`whatsapp_format`."""
+    head = F.slice(F.split(F.regexp_extract(raw, r"^(?:[^\n]*+\n?){0,20}", 0), "\n"), 1, SAMPLE_LINES)
+    votes = {k: F.size(F.filter(head, _like(p))) for k, p in WHATSAPP_FORMATS.items()}
+    top = F.greatest(*votes.values())
+    pick = reduce(lambda c, k: c.when(votes[k] == top, k), WHATSAPP_FORMATS, F.when(top == 0, F.lit(None).cast("string")))
+    if disambiguate_slash:
+        day = F.exists(head, lambda x: F.coalesce(F.regexp_extract(x, r"^\[(\d{1,2})/", 1).try_cast("int") > 12, F.lit(False)))
+        pick = F.when((top > 0) & (votes["EuSlashBracketed"] == top) & day, "EuSlashBracketed").otherwise(pick)
+    return pick
+
+
+def _like(pattern: str):
+    return lambda x: x.rlike(pattern)
+
+
+def _unix_lines(raw: Column) -> Column:
+    return F.when(raw.contains("\r\n"), F.replace(raw, F.lit("\r\n"), F.lit("\n"))).otherwise(raw)
+
+
+def _first_line(piece: Column) -> Column:
+    return F.substring_index(piece, "\n", 1)
+
+
+def _other_lines(piece: Column) -> Column:
+    """What follows the first line, with the line end before it."""
+    return F.when(piece.contains("\n"), piece.substr(F.length(_first_line(piece)) + 1, F.length(piece)))
+
+
 def parse_whatsapp(df: DataFrame, config: WhatsAppConfig = WhatsAppConfig(), on_error: str | None = None, profile: str = "eager") -> DataFrame:
     """Header lines open messages, other lines continue the last one kept; see the profiles' differences.
 
     Eager: notices are told by the header line and skipped, after which lines go on with the earlier message; blank
     contents stay. Streaming: lines after a notice go with it, notices are told by the whole text, contents are
     trimmed and blank ones dropped. A document in which no line has a known format fails (or, skipped, has no messages).
+    A document is cut at its header lines inside its row, without a shuffle; the header lines of notices are taken out
+    of it first, so that what follows them stands behind the message before.
     """
     stream = profile == "streaming"
-    lines = _lines(df)
+    d = df.select("chat_id", _unix_lines(F.col("raw")).alias("raw"))
+    d = d.withColumn("format", _head_format(F.col("raw"), config.disambiguate_slash))
+    if _policy(on_error, profile) == "fail":
+        bad = F.raise_error(F.concat(F.lit("WhatsApp: unknown format of the export "), "chat_id"))
+        d = d.withColumn("format", F.when(F.col("format").isNotNull() | F.col("raw").isNull() | (F.col("raw") == ""), F.col("format")).otherwise(bad.cast("string")))
+    inside = lambda p: p.replace("[^:]", r"[^:\n]").replace(r"\s", r"[\s&&[^\n]]")
+    # In a document, white space and senders end with their line.
+    cut = lambda p: "(?m)" + p[:5] + "^(?=" + inside(p)[6:].removesuffix(r":[\s&&[^\n]]?(.*)") + ":)"
+    d = d.where(F.col("format").isNotNull()).withColumn("raw", _by_format(lambda p: F.regexp_replace("raw", cut(p), _MARK)))
+    parts = lambda x: _by_format(lambda p: F.regexp_replace(_first_line(x), p + "$", f"{_PART}$1{_PART}$2{_PART}$3{_PART}$4"))
+    if config.skip_system_messages and not stream:
+
+        def kept(x: Column) -> Column:
+            h = F.split(parts(x), _PART)
+            return F.when(X.is_notice(X.trim_all(F.get(h, F.lit(3))), F.get(h, F.lit(4))), F.coalesce(_other_lines(x).substr(F.lit(2), F.length(x)), F.lit(""))).otherwise(F.concat(F.lit(_MARK), x))
+
+        pieces = F.split("raw", _MARK)
+        d = d.withColumn("raw", F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), kept), ""))
+    d = d.select("chat_id", "format", F.posexplode(F.split("raw", _MARK)).alias("pos", "x")).where(F.col("pos") > 0)
+    d = d.withColumn("h", F.split(parts(F.col("x")), _PART)).withColumn("more", _other_lines(F.col("x")))
+    # Blank lines go; in streams, lines lose the white space at their ends.
+    more = F.regexp_replace("more", r"(?U)\n\s*(?=\n|\z)", "")
+    if stream:
+        more = F.regexp_replace(more, r"(?U)[\s&&[^\n]]+(?=\n|\z)", "")
+    content = F.when(F.col("more").isNull(), F.get("h", F.lit(4))).otherwise(F.concat(F.get("h", F.lit(4)), more))
+    content = X.trim_all(content) if stream else content
+    d = d.select("chat_id", F.col("pos").alias("seq"), X.trim_all(F.get("h", F.lit(3))).alias("sender"), content.alias("content"), _whatsapp_stamp(F.get("h", F.lit(1)), F.get("h", F.lit(2)), F.col("format")).alias("timestamp"))
+    if stream:
+        d = d.where(X.not_blank(F.col("content")) & ~X.is_notice(F.col("sender"), F.col("content")))
+    return _messages(d, message(F.col("sender"), F.col("content"), F.col("timestamp")), F.col("seq"))
+
+
+def parse_whatsapp_lines(lines: DataFrame, config: WhatsAppConfig = WhatsAppConfig(), on_error: str | None = None, profile: str = "eager") -> DataFrame:
+    """:func:`parse_whatsapp` of documents too large for a row, as ``chat_id, line_no, line``: lines are numbered and folded
+    across tasks, in buckets of places; the same messages, with the header's line number as ``seq``."""
+    stream = profile == "streaming"
     formats = whatsapp_format(lines, config.disambiguate_slash)
     if _policy(on_error, profile) == "fail":
         bad = F.raise_error(F.concat(F.lit("WhatsApp: unknown format of the export "), "chat_id"))
@@ -231,26 +349,34 @@ def _discord_stamp(s: Column) -> Column:
     return X.local_stamp(n(3).try_cast("int"), n(1).try_cast("int"), n(2).try_cast("int"), n(4).try_cast("int"), n(5).try_cast("int"), sec, F.lower(n(7)))
 
 
+def _txt_pieces(raw: Column) -> Column:
+    """The messages of a text export, each from its header line on; what stands before the first comes as the first."""
+    inside = _DISCORD_HEADER.replace(r"\s", r"[\s&&[^\n]]")
+    return F.split(F.regexp_replace(_unix_lines(raw), "(?m)" + inside[:4] + "^(?=" + inside[5:-1] + "$)", _MARK), _MARK)
+
+
+def _txt_message(x: Column) -> Column:
+    """A header line, lines of text, then sections that a line with their name opens; a message, or null of a blank one."""
+    body = F.regexp_replace(F.coalesce(_other_lines(x), F.lit("")), r"\n\{(A)ttachments\}(?=\n|\z)|\n\{(S)tickers\}(?=\n|\z)", f"{_PART}$1$2")
+    parts = F.split(body, _PART)
+
+    def items(part: Column) -> Column:
+        name = lambda line: F.when(line.startswith("http"), X.last_segment(line)).otherwise(line)
+        lines = F.transform(F.slice(F.split(part, "\n"), F.lit(2), F.size(F.split(part, "\n"))), X.trim_all)
+        head = F.when(part.startswith("A"), "[Attachment: ").otherwise("[Sticker: ")
+        return F.transform(F.filter(lines, lambda y: y != ""), lambda y: F.concat(head, name(y), F.lit("]")))
+
+    sections = F.flatten(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), items))
+    # The body keeps its blank lines; without a section the arrays need not be made.
+    content = X.trim_all(F.when(F.size(parts) == 1, parts[0]).otherwise(F.concat_ws("\n", parts[0], F.when(F.size(sections) > 0, F.array_join(sections, "\n")))))
+    h = lambda i: F.regexp_extract(_first_line(x), _DISCORD_HEADER, i)
+    return F.when(X.not_blank(content), message(h(2), content, _discord_stamp(h(1))))
+
+
 def parse_discord_txt(df: DataFrame, on_error: str | None = None, profile: str = "eager") -> DataFrame:
     """Headers open messages; lines ``{Attachments}`` and ``{Stickers}`` open sections, in which lines are placeholders."""
-    d = _lines(df).withColumn("head", F.col("line").rlike(_DISCORD_HEADER))
-    d = running(d, "chat_id", "line_no", F.col("head").cast("int"), "msg").where(F.col("msg") > 0)
-    w = W.partitionBy("chat_id", "msg").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    marker = F.when(F.col("line").isin("{Attachments}", "{Stickers}"), F.col("line"))
-    d = d.withColumn("section", F.last(marker, ignorenulls=True).over(w))
-    line = X.trim_all(F.col("line"))
-    name = F.when(line.startswith("http"), X.last_segment(line)).otherwise(line)
-    item = F.when(line != "", F.concat(F.when(F.col("section") == "{Attachments}", "[Attachment: ").otherwise("[Sticker: "), name, F.lit("]")))
-    part = F.when(F.col("head") | marker.isNotNull(), None).when(F.col("section").isNull(), F.col("line")).otherwise(item)
-    d = d.withColumn("__part", part)
-    g = d.groupBy("chat_id", "msg").agg(
-        F.max(F.when(F.col("head"), F.col("line"))).alias("h"),
-        X.trim_all(F.expr("listagg(__part, '\n') WITHIN GROUP (ORDER BY line_no)")).alias("content"),
-        F.min("line_no").alias("seq"),
-    )
-    h = lambda i: F.regexp_extract("h", _DISCORD_HEADER, i)
-    d = g.where(X.not_blank(F.col("content")))
-    return _messages(d, message(h(2), F.col("content"), _discord_stamp(h(1))), F.col("seq"))
+    d = df.select("chat_id", F.posexplode(_txt_pieces(F.col("raw"))).alias("pos", "x")).where(F.col("pos") > 0)
+    return _messages(d, _txt_message(F.col("x")), F.col("pos"))
 
 
 def _csv_message(row: Column) -> Column:
@@ -259,20 +385,26 @@ def _csv_message(row: Column) -> Column:
     return F.when(X.not_blank(content) | X.not_blank(files), message(F.coalesce(row["author"], F.lit("")), text, X.rfc3339(row["date"])))
 
 
+_CSV_ROWS = "array<struct<author_id:string,author:string,date:string,content:string,attachments:string>>"
+
+
 def _csv_rows(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The records of CSV documents: quoted fields with line ends, short records allowed, the header left out."""
     csv.field_size_limit(2**31 - 1)
     for s in parts:
         out = []
         for text in s:
-            rows = list(csv.reader(io.StringIO(text or "", newline="")))[1:]
+            if text is None:
+                out.append(None)
+                continue
+            rows = list(csv.reader(io.StringIO(text, newline="")))[1:]
             out.append([{k: (r[i] if i < len(r) else None) for i, k in enumerate(("author_id", "author", "date", "content", "attachments"))} for r in rows if r])
         yield pd.Series(out)
 
 
 def parse_discord_csv(df: DataFrame, on_error: str | None = None, profile: str = "eager") -> DataFrame:
     """Columns by position: id of the author, author, date, content, attachments. Documents in Arrow batches."""
-    f = F.pandas_udf(_csv_rows, "array<struct<author_id:string,author:string,date:string,content:string,attachments:string>>")
+    f = F.pandas_udf(_csv_rows, _CSV_ROWS)
     d = df.select("chat_id", F.posexplode(f("raw")).alias("pos", "r"))
     return _messages(d, _csv_message(F.col("r")), F.col("pos"))
 
@@ -288,11 +420,36 @@ def discord_kind(raw: Column, path: Column | None = None) -> Column:
 
 
 def parse_discord(df: DataFrame, config: DiscordConfig = DiscordConfig(), on_error: str | None = None, profile: str = "eager") -> DataFrame:
-    """Documents of any of Discord's formats; a column ``path``, where there is one, tells by its extension."""
-    d = df.withColumn("__kind", discord_kind(F.col("raw"), F.col("path") if "path" in df.columns else None))
-    part = lambda k: d.where(F.col("__kind") == k)
-    out = parse_discord_json(part("json"), config, on_error, profile)
-    return out.unionByName(parse_discord_txt(part("txt"))).unionByName(parse_discord_csv(part("csv")))
+    """Documents of any of Discord's formats; a column ``path``, where there is one, tells by its extension.
+
+    The documents are read once: each is one of three arrays, and what a record is decides how it is read.
+    """
+    stream, policy = profile == "streaming", _policy(on_error, profile)
+    fail = policy == "fail"
+    schema, check, plain = _STRICT["Discord"]
+    d = df.select("chat_id", "raw", discord_kind(F.col("raw"), F.col("path") if "path" in df.columns else None).alias("kind"))
+    records = F.from_json(F.when(F.col("kind") == "json", F.col("raw")), f"messages ARRAY<{schema if fail else 'STRING'}>")["messages"]
+    if fail:
+        bad = F.raise_error(F.concat(F.lit("Discord: no valid document with messages in "), "chat_id"))
+        records = F.when((F.col("kind") != "json") | records.isNotNull(), records).otherwise(bad)
+    rows = F.pandas_udf(_csv_rows, _CSV_ROWS)(F.when(F.col("kind") == "csv", F.col("raw")))
+    d = d.select("chat_id", "kind", records.alias("j"), rows.alias("c"), F.when(F.col("kind") == "txt", _txt_pieces(F.col("raw"))).alias("t"))
+    d = d.select("chat_id", "kind", "c", "t", F.posexplode_outer("j").alias("jp", "r"))
+    d = d.select("chat_id", "kind", "t", "jp", "r", F.posexplode_outer("c").alias("cp", "c"))
+    d = d.select("chat_id", "kind", "jp", "r", "cp", "c", F.posexplode_outer("t").alias("tp", "x"))
+    d = d.where(F.col("jp").isNotNull() | F.col("cp").isNotNull() | (F.col("tp") > 0))
+    if not fail:
+        if stream:
+            d = d.where((F.col("kind") != "json") | (F.octet_length("r") <= config.max_message_size))
+        d = d.withColumn("r", F.from_json("r", schema))
+    whole = F.col("r").isNotNull() & F.coalesce(check(F.col("r")), F.lit(False))
+    if fail:
+        d = d.withColumn("r", F.when(F.col("kind") != "json", None).when(whole, plain(F.col("r"))).otherwise(_malformed("Discord")))
+    else:
+        d = d.withColumn("r", F.when(whole, plain(F.col("r"))))
+    m = F.when(F.col("kind") == "json", F.when(F.col("r").isNotNull(), discord_message(F.col("r"), config, "json" if stream else None)))
+    m = m.when(F.col("kind") == "csv", _csv_message(F.col("c"))).otherwise(_txt_message(F.col("x")))
+    return _messages(d, m, F.coalesce("jp", "cp", "tp"))
 
 
 PARSERS = {Platform.TELEGRAM: parse_telegram, Platform.WHATSAPP: parse_whatsapp, Platform.INSTAGRAM: parse_instagram, Platform.DISCORD: parse_discord}
