@@ -213,7 +213,7 @@ def _expect(names: list[str], prior: np.ndarray, rates: list[np.ndarray]):
     return run
 
 
-def fit_accuracies(patterns: DataFrame, thresholds: Thresholds, rounds: int = 40) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def fit_accuracies(patterns: DataFrame, thresholds: Thresholds, rounds: int = 20) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Prior of the types and, by statistic, the probability of each range given the type: EM over all documents.
 
     *patterns* has a row per pattern of ranges with its number ``n`` of documents. At first every labelling function is
@@ -252,21 +252,27 @@ def fit_accuracies(patterns: DataFrame, thresholds: Thresholds, rounds: int = 40
 def text_types(ranged: DataFrame, model: tuple[np.ndarray, dict[str, np.ndarray]]) -> DataFrame:
     """Adds ``kind``, the most probable type, and ``posterior``, its probability.
 
-    A sum of log probabilities per type, inside the JVM; ties go to the earlier of prose, list, table, junk. Where the
-    model has no thresholds, as without labels, all documents get the type of the greatest prior.
+    A sum of log probabilities per type, in Arrow batches of ranges (a few bytes a document); ties go to the earlier of
+    prose, list, table, junk. Where the model has no thresholds, as without labels, all documents get the type of the
+    greatest prior.
     """
     prior, rates = model
-    d = ranged
-    for k in range(len(KINDS)):
-        terms = [F.element_at(F.array(*[F.lit(float(x)) for x in np.log(r[k])]), F.col(f"r_{c}").cast("int") + 1) for c, r in rates.items()]
-        d = d.withColumn(f"__l{k}", reduce(lambda a, b: a + b, terms, F.lit(float(np.log(prior[k])))))
-    top = F.greatest(*[F.col(f"__l{k}") for k in range(len(KINDS))])
-    kind = reduce(lambda c, k: c.when(F.col(f"__l{k}") == top, KINDS[k]), range(len(KINDS)), F.when(F.lit(False), F.lit("")))
-    total = reduce(lambda a, b: a + b, [F.exp(F.col(f"__l{k}") - top) for k in range(len(KINDS))])
-    return d.withColumn("kind", kind).withColumn("posterior", 1 / total).drop(*[f"__l{k}" for k in range(len(KINDS))])
+    names, log_prior, logs = [f"r_{c}" for c in rates], np.log(prior), [np.log(r) for r in rates.values()]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in parts:
+            log = log_prior + sum((lg[:, d[c].to_numpy().astype(int)].T for c, lg in zip(names, logs)), np.zeros((len(d), 1)))
+            best = log.argmax(1)
+            total = np.exp(log - log.max(1, keepdims=True)).sum(1)
+            yield pd.DataFrame({"kind": np.array(KINDS, dtype=object)[best], "posterior": 1 / total})
+
+    # Not deterministic for the optimizer: a filter on the type would else be pushed below and evaluate it twice.
+    typed = F.pandas_udf(run, "kind string, posterior double").asNondeterministic()
+    given = F.struct(*[F.col(c) for c in names]) if names else F.struct(F.lit(0).alias("none"))
+    return ranged.withColumn("__t", typed(given)).select(*ranged.columns, "__t.kind", "__t.posterior")
 
 
-def classify(documents: DataFrame, common: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, rounds: int = 40) -> DataFrame:
+def classify(documents: DataFrame, common: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, rounds: int = 20) -> DataFrame:
     """Statistics, ranges, type and posterior of every document; the statistics are written once, as are the patterns.
 
     Defined cases: see :func:`text_statistics`; without labels every document is prose.
