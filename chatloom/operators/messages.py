@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from chatloom.config import FilterConfig, OutputConfig
 from chatloom.functions.text import ascii_lower
-from chatloom.operators.ordered import BUCKET, running
+from chatloom.operators.ordered import BUCKET, carried
+from chatloom.session import cut_lineage
 
 __all__ = ["filter_condition", "apply_filters", "merge_consecutive", "ProcessingStats", "processing_stats", "stats_row", "project", "chunk_by_time"]
 
@@ -122,22 +123,20 @@ def project(df: DataFrame, config: OutputConfig = OutputConfig()) -> DataFrame:
 
 
 def _fold(window_minutes: int):
-    """The places where chunks begin; rows come sorted by stretch and place, and only the open chunk's start is kept."""
+    """The place that opened each row's chunk; rows come sorted by stretch and place, and only the open one is kept."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, start = None, None
+        key, start, opened = None, None, None
         for d in parts:
             found = []
             for k, s, seq, us in zip(d["chat_id"], d["stretch"], d["seq"], d["us"]):
                 us = None if pd.isna(us) else int(us)
                 if (k, s) != key:
-                    key, start = (k, s), us
+                    key, start, opened = (k, s), us, seq
                 elif us is not None and (start is None or int((us - start) / 60_000_000) > window_minutes):
-                    start = us
-                else:
-                    continue
-                found.append((k, seq))
-            yield pd.DataFrame(found, columns=["start_chat", "start_seq"])
+                    start, opened = us, seq
+                found.append(opened)
+            yield pd.DataFrame({"c": d["chat_id"], "p": d["seq"], "start": pd.Series(found, index=d.index, dtype=object)})
 
     return run
 
@@ -149,26 +148,27 @@ def chunk_by_time(df: DataFrame, window_minutes: int) -> DataFrame:
     while the start has none; one without a time joins the open chunk. Text is ``sender: content`` by lines.
 
     The rule is sequential, but a message later than the window after the latest time seen before it in its chat opens
-    a chunk whatever came before. Chats are cut at these places first (by a bucketed running maximum), so what is
-    folded in order is one burst of a chat; rows stream through the fold, which keeps the open chunk's start only.
+    a chunk whatever came before. Chats are cut at these places first, by a running maximum that is kept in buckets of
+    places, so what is folded in order is one burst of a chat; rows stream through the fold, which keeps the open chunk's
+    start only. All this moves chat, place and time alone; texts meet their chunk by one join.
     """
-    d = df.withColumn("__us", F.unix_micros("timestamp"))
-    d = running(d, "chat_id", "seq", F.col("__us"), "__seen", "max", before=True)
-    minutes = ((F.col("__us") - F.col("__seen")) / 60_000_000).cast("bigint")
-    sure = F.col("__us").isNotNull() & (F.col("__seen").isNull() | (minutes > window_minutes))
-    d = running(d, "chat_id", "seq", F.when(sure, 1).otherwise(0), "__stretch")
-    # Python sees places and times only, and says where chunks begin.
-    lean = d.select("chat_id", F.col("__stretch").alias("stretch"), F.col("seq").cast("string").alias("seq"), F.col("__us").alias("us"), F.col("seq").alias("place"))
-    lean = lean.repartition("chat_id", "stretch").sortWithinPartitions("chat_id", "stretch", "place").drop("place")
-    starts = lean.mapInPandas(_fold(window_minutes), "start_chat string, start_seq string").withColumn("start_seq", F.col("start_seq").cast("bigint"))
-    d = d.join(starts, F.col("chat_id").eqNullSafe(F.col("start_chat")) & F.col("seq").eqNullSafe(F.col("start_seq")), "left")
-    d = d.withColumn("__new", F.col("start_seq").isNotNull()).drop("start_chat", "start_seq")
-    d = running(d, "chat_id", "seq", F.col("__new").cast("int"), "chunk_no").withColumn("chunk_no", F.col("chunk_no") - 1)
+    lean = df.select("chat_id", "seq", F.unix_micros("timestamp").alias("us"), F.floor(F.col("seq") / BUCKET).alias("b"))
+    lean = cut_lineage(lean.repartition("chat_id", "b"))
+    d = carried(lean, "chat_id", "b", "seq", F.col("us"), "seen", before=True)
+    minutes = ((F.col("us") - F.col("seen")) / 60_000_000).cast("bigint")
+    d = cut_lineage(d.withColumn("sure", F.when(F.col("us").isNotNull() & (F.col("seen").isNull() | (minutes > window_minutes)), F.col("seq"))).drop("seen"))
+    d = carried(d, "chat_id", "b", "seq", F.col("sure"), "stretch")
+    # Python sees places and times only, and says which place opened the chunk of each.
+    d = d.select("chat_id", "stretch", "seq", "us", F.col("chat_id").alias("k"), F.col("stretch").alias("s"))
+    d = d.repartition("k", "s").sortWithinPartitions("chat_id", "stretch", "seq").select("chat_id", F.col("stretch").cast("string").alias("stretch"), F.col("seq").cast("string").alias("seq"), "us")
+    found = d.mapInPandas(_fold(window_minutes), "c string, p string, start string")
+    found = found.select(F.col("c"), F.col("p").cast("bigint").alias("p"), F.col("start").cast("bigint").alias("start"))
     line = F.concat(F.coalesce("sender", F.lit("")), F.lit(": "), F.coalesce("content", F.lit("")))
-    d = d.withColumn("__line", line)
-    out = d.groupBy("chat_id", "chunk_no").agg(
+    d = df.withColumn("__line", line).join(found, F.col("chat_id").eqNullSafe(F.col("c")) & F.col("seq").eqNullSafe(F.col("p")))
+    out = d.groupBy("chat_id", "start").agg(
         F.expr("listagg(__line, '\n') WITHIN GROUP (ORDER BY seq)").alias("text"),
         F.min_by(F.struct("sender", "timestamp"), "seq").alias("__f"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("seq", "id")))), lambda x: x["id"]).alias("message_ids"),
     )
+    out = out.withColumn("chunk_no", F.row_number().over(W.partitionBy("chat_id").orderBy("start")).cast("bigint") - 1)  # a row per chunk
     return out.select("chat_id", "chunk_no", F.concat(F.lit("chunk_"), "chunk_no").alias("id"), "text", "__f.sender", "__f.timestamp", "message_ids")
