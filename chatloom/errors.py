@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 
 class ChatError(Exception):
     """Base of all."""
@@ -69,3 +73,39 @@ class BufferOverflowError(ChatError):
 
 class UnexpectedEndError(ChatError):
     """A document ends inside a record."""
+
+
+# What Spark's message of a failed task tells, and the exception it stands for.
+_TOLD = [
+    (r"(\w+): (no valid document with messages in [^\n\"]*|a malformed (?:record|line)[^\n\"]*)", ParseError),
+    (r"(\w+): (unknown format of the export [^\n\"]*)", InvalidFormatError),
+]
+_SIGNS = [
+    ("UnexpectedEndError", UnexpectedEndError), ("BufferOverflowError", BufferOverflowError), ("UnicodeDecodeError", Utf8Error), ("INVALID_UTF8_STRING", Utf8Error), ("_csv.Error", CsvError),
+    ("JSONDecodeError", JsonError), ("MALFORMED_RECORD_IN_PARSING", JsonError), ("PATH_NOT_FOUND", InputOutputError), ("FileNotFoundException", InputOutputError), ("StreamingQueryException", StreamingError),
+]
+
+
+def translated(e: BaseException) -> ChatError | None:
+    """The exception of this library that a failed action of Spark stands for, or null."""
+    if isinstance(e, ChatError):
+        return e
+    text = f"{type(e).__name__}: {e}"
+    for pattern, kind in _TOLD:
+        if m := re.search(pattern, text):
+            return kind(m[1], m[2])
+    for sign, kind in _SIGNS:
+        if sign in text:
+            return kind(str(e).split("\n")[0])
+    return None
+
+
+@contextmanager
+def typed_errors() -> Iterator[None]:
+    """Actions inside raise this library's exceptions: ``with typed_errors(): parse_chat(...).collect()``."""
+    try:
+        yield
+    except Exception as e:
+        if (other := translated(e)) is None or other is e:
+            raise
+        raise other from e

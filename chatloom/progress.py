@@ -49,23 +49,28 @@ def stderr_progress() -> ProgressCallback:
     def show(progress: Progress) -> None:
         if (share := progress.percentage()) is not None:
             print(f"Progress: {share:.1f}%", file=sys.stderr)
+        else:
+            print(f"Progress: {progress.items_processed} items", file=sys.stderr)
 
     return show
 
 
 class ProgressListener(StreamingQueryListener):
-    """Calls back after each micro-batch with the rows read so far (and their number in all, where known)."""
+    """Calls back after each micro-batch with the rows read so far and, of streams that observe their files' sizes (those of
+    ``stream_raw`` and what is made of them), the bytes; and with their numbers in all, where known."""
 
-    def __init__(self, callback: ProgressCallback, total_items: int | None = None):
+    def __init__(self, callback: ProgressCallback, total_items: int | None = None, total_bytes: int | None = None):
         super().__init__()
-        self.callback, self.seen, self.total = callback, 0, total_items
+        self.callback, self.seen, self.total, self.bytes, self.total_bytes = callback, 0, total_items, 0, total_bytes
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
         pass
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
         self.seen += event.progress.numInputRows
-        self.callback(Progress(items_processed=self.seen, total_items=self.total))
+        for row in event.progress.observedMetrics.values():
+            self.bytes += row.asDict().get("chatloom_bytes") or 0
+        self.callback(Progress(self.bytes, self.total_bytes, self.seen, self.total))
 
     def onQueryIdle(self, event) -> None:  # noqa: N802
         pass

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.config import OutputConfig, OutputFormat
-from chatloom.errors import InputOutputError
+from chatloom.errors import InputOutputError, typed_errors
 from chatloom.functions.text import stamp_text
 
 __all__ = ["csv_header", "csv_lines", "json_objects", "jsonl_lines", "to_csv", "to_json", "to_jsonl", "to_format_string", "write_single", "write_dir"]
@@ -85,7 +85,8 @@ def jsonl_lines(df: DataFrame, config: OutputConfig = OutputConfig()) -> DataFra
 
 def _ordered(lines: DataFrame) -> list[str]:
     """All lines on the driver, which a string or a single file needs anyway; in the order of chats and places."""
-    return [r["line"] for r in lines.orderBy("chat_id", "seq").toLocalIterator()]
+    with typed_errors():
+        return [r["line"] for r in lines.orderBy("chat_id", "seq").toLocalIterator()]
 
 
 def to_csv(df: DataFrame, config: OutputConfig = OutputConfig()) -> str:
@@ -118,7 +119,7 @@ def write_single(df: DataFrame, path: str, form: OutputFormat | str | None = Non
     """
     f = OutputFormat.from_name(form) if form else OutputFormat.from_path(path)
     try:
-        with open(path, "w", encoding="utf-8", newline="") as out:
+        with typed_errors(), open(path, "w", encoding="utf-8", newline="") as out:
             if f is OutputFormat.CSV:
                 out.write(csv_header(config) + "\n")
             lines = csv_lines(df, config) if f is OutputFormat.CSV else json_objects(df, config, pretty=f is OutputFormat.JSON)
@@ -140,7 +141,11 @@ def write_dir(df: DataFrame, path: str, form: OutputFormat | str, config: Output
 
     JSON is written as one object per line here, as no single array can span files.
     """
-    f = OutputFormat.from_name(form)
+    with typed_errors():
+        _write_dir(df, path, OutputFormat.from_name(form), config, mode)
+
+
+def _write_dir(df: DataFrame, path: str, f: OutputFormat, config: OutputConfig, mode: str) -> None:
     d = df.repartitionByRange("chat_id", "seq").sortWithinPartitions("chat_id", "seq")
     if f is OutputFormat.CSV:
         d = d.select(*[F.coalesce(c, F.lit("")).alias(n) for n, c in _fields(config)])

@@ -6,13 +6,15 @@ from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chatloom.config import CONFIGS, Platform
 from chatloom.errors import InputOutputError
-from chatloom.sources.parsers import parse_chat
+from chatloom.sources.json_array import JsonArraySource
+from chatloom.sources.parsers import parse_chat, parse_records, parse_whatsapp_lines
 
-__all__ = ["read_raw", "read_chat", "parse_strings", "Source", "create_source", "submit"]
+__all__ = ["read_raw", "read_chat", "read_lines", "read_large", "parse_strings", "Source", "create_source", "submit"]
 
 _POOL = ThreadPoolExecutor(max_workers=4, thread_name_prefix="chatloom")
 
@@ -35,6 +37,33 @@ def read_chat(spark: SparkSession, paths: str | list[str], platform: Platform |
     return parse_chat(raw, platform, config, **options)
 
 
+def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``chat_id, line_no, line`` of text files of any size, read in blocks by many tasks.
+
+    A line's number is the place of its block in the file and its own in the block; as a line has a byte at least, the
+    numbers of later blocks are greater. They are unique and in order, not without gaps.
+    """
+    d = spark.read.option("lineSep", "\n").text(paths)
+    d = d.select(F.col("_metadata.file_path").alias("chat_id"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    first = F.min("at").over(W.partitionBy("chat_id", "block"))
+    return d.select("chat_id", (F.col("block") + F.col("at") - first).alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
+
+
+def read_large(spark: SparkSession, path: str, platform: Platform | str, config=None, on_error: str = "skip", profile: str = "eager", max_record: int = 10 << 20) -> DataFrame:
+    """The messages of exports too large to be a row each: JSON record by record, WhatsApp line by line.
+
+    A JSON file is a partition, of which one record and one block are in memory at a time. Records larger than
+    *max_record* are left out, or end the read where errors fail. Discord's text and CSV exports have no such way.
+    """
+    p = Platform.from_name(platform)
+    if p is Platform.WHATSAPP:
+        options = {} if config is None else {"config": config}
+        return parse_whatsapp_lines(read_lines(spark, path), on_error=on_error, profile=profile, **options)
+    spark.dataSource.register(JsonArraySource)
+    d = spark.read.format("chat_json_array").option("maxRecordSize", max_record).option("oversize", on_error).load(path)
+    return parse_records(d.where(F.col("item").isNotNull()), p, config, on_error, profile)
+
+
 def parse_strings(spark: SparkSession, texts: str | list[str], platform: Platform | str, config=None, **options) -> DataFrame:
     """The messages of exports held in memory."""
     texts = [texts] if isinstance(texts, str) else texts
@@ -56,7 +85,8 @@ class Source:
 
     @property
     def supports_streaming(self) -> bool:
-        return True
+        """Whether a stream of files gives messages record by record; WhatsApp's lines need their whole file."""
+        return self.platform is not Platform.WHATSAPP
 
     @property
     def recommended_buffer_size(self) -> int:
@@ -65,6 +95,10 @@ class Source:
     def parse(self, spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
         return read_chat(spark, paths, self.platform, self.config, **{"profile": self.profile, **options})
 
+    def stream_file(self, spark: SparkSession, path: str, **options) -> DataFrame:
+        """The messages of a file of any size, in the streaming profile."""
+        return read_large(spark, path, self.platform, self.config, **{"profile": "streaming", **options})
+
     def parse_str(self, spark: SparkSession, text: str, **options) -> DataFrame:
         return parse_strings(spark, text, self.platform, self.config, **{"profile": self.profile, **options})
 

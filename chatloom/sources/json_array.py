@@ -6,13 +6,11 @@
 
 from __future__ import annotations
 
-import glob
-import os
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from chatloom.errors import UnexpectedEndError
+from chatloom.errors import BufferOverflowError, UnexpectedEndError
 
 __all__ = ["JsonArraySource", "scan_records"]
 
@@ -90,26 +88,49 @@ class _File(InputPartition):
         self.path = path
 
 
+def _opened(path: str):
+    """A file system and a path in it, of a local path or an address that pyarrow knows (file, hdfs, s3, gs)."""
+    from pyarrow import fs
+
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    return fs.LocalFileSystem(), path
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options.get("path", "")
         self.array = options.get("array", "messages")
         self.largest = int(options.get("maxrecordsize", 10 << 20))
+        self.oversize = options.get("oversize", "skip")
 
     def partitions(self) -> list[InputPartition]:
-        at = self.path.removeprefix("file://").removeprefix("file:")
-        files = sorted(glob.glob(os.path.join(at, "*"))) if os.path.isdir(at) else sorted(glob.glob(at))
-        return [_File(p) for p in files if os.path.isfile(p)]
+        """A partition per file; of a folder all files in it, of a pattern those it fits in its folder."""
+        import fnmatch
+        import posixpath
+
+        from pyarrow import fs
+
+        system, path = _opened(self.path)
+        head = self.path[: len(self.path) - len(path)] if self.path.endswith(path) else ""
+        folder, pattern = (path.rstrip("/"), "*") if system.get_file_info(path).type == fs.FileType.Directory else posixpath.split(path)
+        found = system.get_file_info(fs.FileSelector(folder or ".", allow_not_found=True))
+        return [_File(head + f.path) for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File and fnmatch.fnmatch(posixpath.basename(f.path), pattern)]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, encoding="utf-8") as f:
+        import io
+
+        system, path = _opened(partition.path)
+        with system.open_input_stream(path) as raw, io.TextIOWrapper(io.BufferedReader(raw, BLOCK), encoding="utf-8", newline="") as f:
             for pos, item in scan_records(f.read, self.array, self.largest):
-                if item is not None:
-                    yield partition.path, pos, item
+                if item is None and self.oversize == "fail":
+                    raise BufferOverflowError(f"record {pos} of {partition.path} is larger than {self.largest} characters")
+                yield partition.path, pos, item
 
 
 class JsonArraySource(DataSource):
-    """Options: ``path`` (a file, folder or pattern on a file system that all executors mount), ``array``, ``maxRecordSize``."""
+    """Options: ``path`` (a file, folder or pattern, local or by an address that pyarrow knows), ``array``,
+    ``maxRecordSize``, ``oversize``: ``skip`` gives a larger record as null, ``fail`` ends the read."""
 
     @classmethod
     def name(cls) -> str:

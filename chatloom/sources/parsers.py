@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chatloom.config import DiscordConfig, InstagramConfig, Platform, TelegramConfig, WhatsAppConfig
+from chatloom.config import CONFIGS, DiscordConfig, InstagramConfig, Platform, TelegramConfig, WhatsAppConfig
 from chatloom.errors import InvalidFormatError
 from chatloom.functions import text as X
 from chatloom.operators.ordered import running
@@ -26,7 +26,7 @@ from chatloom.schema import DISCORD_RECORD, INSTAGRAM_RECORD, MESSAGE_COLUMNS, S
 
 __all__ = [
     "telegram_message", "instagram_message", "discord_message", "parse_telegram", "parse_instagram", "parse_discord_json", "parse_discord_jsonl",
-    "parse_discord_txt", "parse_discord_csv", "parse_discord", "parse_whatsapp", "parse_whatsapp_lines", "whatsapp_format", "parse_chat", "PARSERS",
+    "parse_discord_txt", "parse_discord_csv", "parse_discord", "parse_whatsapp", "parse_whatsapp_lines", "checked_records", "parse_records", "whatsapp_format", "parse_chat", "PARSERS",
 ]
 
 
@@ -131,10 +131,10 @@ def _records(df: DataFrame, platform: str, on_error: str, largest: int | None =
     # The outer form, as Spark would move a test of what the inner one explodes in front of other filters. The size is
     # taken before: after it, every element's row would carry the whole array.
     d = d.withColumn("n", F.size("items")).select("chat_id", "n", F.posexplode_outer("items").alias("pos", "r")).where(F.col("pos").isNotNull())
-    return _checked(d, platform, on_error, largest)
+    return checked_records(d, platform, on_error, largest)
 
 
-def _checked(d: DataFrame, platform: str, on_error: str, largest: int | None = None) -> DataFrame:
+def checked_records(d: DataFrame, platform: str, on_error: str, largest: int | None = None) -> DataFrame:
     """Records as structs; in ``skip`` they come as JSON texts."""
     schema, check, plain = _STRICT[platform]
     if on_error == "skip":
@@ -155,6 +155,23 @@ def _policy(on_error: str | None, profile: str) -> str:
     return on_error or ("skip" if profile == "streaming" else "fail")
 
 
+def parse_records(records: DataFrame, platform: Platform | str, config=None, on_error: str = "skip", profile: str = "eager") -> DataFrame:
+    """Messages of ``chat_id, pos, item``: records as JSON texts, as :mod:`chatloom.sources.json_array` reads them from
+    documents of any size. Telegram, Instagram (whose later places come first) and Discord."""
+    p = Platform.from_name(platform)
+    config = config or CONFIGS[p]()
+    stream = profile == "streaming"
+    d = records.select("chat_id", "pos", F.col("item").alias("r"))
+    if on_error == "fail":
+        d = d.withColumn("r", F.from_json("r", _STRICT[str(p)][0]))
+    d = checked_records(d, str(p), on_error)
+    m = {
+        Platform.TELEGRAM: lambda r: telegram_message(r), Platform.INSTAGRAM: lambda r: instagram_message(r, stream or config.fix_encoding),
+        Platform.DISCORD: lambda r: discord_message(r, config, "json" if stream else None),
+    }[p](F.col("r"))
+    return _messages(d, m, -1 - F.col("pos") if p is Platform.INSTAGRAM and not stream else F.col("pos"))
+
+
 # ---- JSON documents ---------------------------------------------------------------------------------------------
 
 
@@ -180,7 +197,7 @@ def parse_discord_json(df: DataFrame, config: DiscordConfig = DiscordConfig(), o
 def parse_discord_jsonl(df: DataFrame, config: DiscordConfig = DiscordConfig(), on_error: str = "skip", profile: str = "streaming") -> DataFrame:
     """A record per line; blank lines are none."""
     d = df.select("chat_id", F.posexplode(X.split_lines(F.col("raw"))).alias("pos", "line")).where(X.not_blank(F.col("line")))
-    d = _checked(d.select("chat_id", "pos", F.when(F.col("line").rlike(r"^\s*\{") & F.try_parse_json("line").isNotNull(), F.col("line")).alias("r")), "Discord", "skip") if on_error == "skip" else _checked(
+    d = checked_records(d.select("chat_id", "pos", F.when(F.col("line").rlike(r"^\s*\{") & F.try_parse_json("line").isNotNull(), F.col("line")).alias("r")), "Discord", "skip") if on_error == "skip" else checked_records(
         d.select("chat_id", "pos", F.from_json("line", _STRICT["Discord"][0]).alias("r")), "Discord", "fail"
     )
     return _messages(d, discord_message(F.col("r"), config, "jsonl" if profile == "streaming" else None), F.col("pos"))

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chatloom.config import Platform, StreamingConfig
-from chatloom.schema import DISCORD_RECORD
 from chatloom.sources.files import create_source
-from chatloom.sources.parsers import PARSERS, discord_message, parse_chat
+from chatloom.sources.parsers import PARSERS, checked_records, discord_message, parse_chat
 
 __all__ = ["stream_raw", "stream_chat", "stream_discord_jsonl", "process_stream"]
 
@@ -20,7 +19,8 @@ def stream_raw(spark: SparkSession, folder: str, max_files: int = 64) -> DataFra
     """``chat_id, raw, path`` of files as they arrive, at most *max_files* per micro-batch."""
     d = spark.readStream.schema("value string").option("wholetext", True).option("maxFilesPerTrigger", max_files).format("text").load(folder)
     path = F.col("_metadata.file_path")
-    return d.select(path.alias("chat_id"), F.col("value").alias("raw"), path.alias("path"))
+    d = d.select(path.alias("chat_id"), F.col("value").alias("raw"), path.alias("path"), F.col("_metadata.file_size").alias("size"))
+    return d.observe("chatloom", F.sum("size").alias("chatloom_bytes")).drop("size")
 
 
 def stream_chat(spark: SparkSession, folder: str, platform: Platform | str, config: StreamingConfig = StreamingConfig(), max_files: int = 64) -> DataFrame:
@@ -43,9 +43,8 @@ def stream_chat(spark: SparkSession, folder: str, platform: Platform | str, conf
 def stream_discord_jsonl(spark: SparkSession, folder: str, max_files: int = 64) -> DataFrame:
     """Messages of files with a record per line: ``chat_id`` and the message, without a place."""
     d = spark.readStream.schema("value string").option("maxFilesPerTrigger", max_files).format("text").load(folder)
-    r = F.when(F.try_parse_json("value").isNotNull() & F.col("value").rlike(r"^\s*\{"), F.from_json("value", DISCORD_RECORD))
-    d = d.select(F.col("_metadata.file_path").alias("chat_id"), r.alias("r")).where(F.col("r").isNotNull())
-    d = d.where(F.col("r.id").isNotNull() & F.col("r.timestamp").isNotNull() & F.col("r.content").isNotNull() & F.col("r.author.name").isNotNull())
+    r = F.when(F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull(), F.col("value"))
+    d = checked_records(d.select(F.col("_metadata.file_path").alias("chat_id"), r.alias("r")).where(F.col("r").isNotNull()), "Discord", "skip")
     return d.select("chat_id", discord_message(F.col("r"), stream="jsonl").alias("m")).where(F.col("m").isNotNull()).select("chat_id", "m.*")
 
 

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import random
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -175,6 +176,10 @@ def test_streams(spark, tmp_path):
     q = stream_chat(spark, str(inbox), "tg", max_files=1).writeStream.format("memory").queryName("tg").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c1")).start()
     q.awaitTermination(120)
     assert spark.table("tg").count() == 15
+    deadline = time.time() + 20
+    while time.time() < deadline and not (seen and seen[-1].bytes_processed):
+        time.sleep(0.2)
+    assert seen[-1].bytes_processed > 0 and seen[-1].items_processed > 0
     spark.streams.removeListener(listener)
     lines = tmp_path / "dc"
     lines.mkdir()

@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatloom.config import DiscordConfig, InstagramConfig, Platform, WhatsAppConfig
-from chatloom.errors import InputOutputError, UnexpectedEndError
+from chatloom.errors import BufferOverflowError, InputOutputError, InvalidFormatError, ParseError, UnexpectedEndError, Utf8Error, translated, typed_errors
 from chatloom.functions import text as X
 from chatloom.operators.messages import merge_consecutive
-from chatloom.sources.files import create_source, parse_strings, read_chat, submit
+from chatloom.sources.files import create_source, parse_strings, read_chat, read_large, submit
+from chatloom.sinks.writers import to_csv
 from chatloom.sources.json_array import JsonArraySource, scan_records
 from chatloom.sources.parsers import discord_kind, parse_chat, parse_discord_jsonl
 
@@ -186,3 +187,60 @@ def test_record_scanner(spark, tmp_path):
     spark.dataSource.register(JsonArraySource)
     got = spark.read.format("chat_json_array").load(str(tmp_path / "f.json")).orderBy("pos").collect()
     assert [json.loads(r["item"]) for r in got] == records
+
+
+def test_numbers_are_no_texts(spark):
+    """A record with a field of a wrong JSON type is malformed: it fails the document, or is skipped alone."""
+    good = {"id": 1, "date_unixtime": "1705314600", "text": "x"}
+    for bad in ({"from": 5}, {"date_unixtime": 1705314600}, {"id": "1"}, {"id": -1}, {"id": 1.5}, {"type": True}, {"edited_unixtime": []}):
+        raw = tg(good, {**good, **bad})
+        with pytest.raises(ParseError) as e, typed_errors():
+            parse_strings(spark, raw, "tg").collect()
+        assert e.value.platform == "Telegram" and e.value.is_parse()
+        assert len(rows(parse_strings(spark, raw, "tg", profile="streaming"))) == 1
+    ig = lambda **x: json.dumps({"messages": [{"sender_name": "u", "timestamp_ms": 1, "content": "c", **x}]})
+    for bad in ({"sender_name": 5}, {"timestamp_ms": "1"}, {"content": 3}, {"share": {"share_text": 1}}):
+        assert parse_strings(spark, ig(**bad), "ig", on_error="skip").count() == 0
+    assert rows(parse_strings(spark, ig(share=None), "ig"), "content") == [("c",)]
+    for bad in ({"id": 1}, {"content": None}, {"author": {"name": 4}}, {"author": None}, {"timestamp": 7}):
+        raw = json.dumps({"messages": [dc(**bad), dc()]})
+        assert len(rows(parse_strings(spark, raw, "dc", on_error="skip"))) == 1
+        with pytest.raises(ParseError), typed_errors():
+            parse_strings(spark, raw, "dc").collect()
+        lines = spark.createDataFrame([("c", json.dumps(dc(**bad)) + "\n" + json.dumps(dc()))], "chat_id string, raw string")
+        assert parse_discord_jsonl(lines).count() == 1
+
+
+def test_typed_errors(spark):
+    with pytest.raises(InvalidFormatError), typed_errors():
+        parse_strings(spark, "just text", "wa").collect()
+    with pytest.raises(ParseError):
+        to_csv(parse_strings(spark, "{", "tg"))
+    with pytest.raises(ZeroDivisionError), typed_errors():
+        1 / 0
+    assert isinstance(translated(RuntimeError("UnicodeDecodeError: x")), Utf8Error) and translated(RuntimeError("x")) is None
+
+
+def test_large_files(spark, tmp_path):
+    """Read record by record and line by line, they give what whole documents give."""
+    n = 3000
+    (tmp_path / "t.json").write_text(tg(*[{"id": i, "text": f"m{i} }}{{"} for i in range(n)], {"from": 5}))
+    got = rows(read_large(spark, str(tmp_path / "t.json"), "tg"), "id", "content")
+    assert got == [(str(i), f"m{i} }}{{") for i in range(n)]
+    with pytest.raises(ParseError), typed_errors():
+        read_large(spark, str(tmp_path / "t.json"), "tg", on_error="fail").collect()
+    with pytest.raises(BufferOverflowError), typed_errors():
+        read_large(spark, "file://" + str(tmp_path / "t.json"), "tg", on_error="fail", max_record=20).collect()
+    ig = json.dumps({"messages": [{"sender_name": "u", "timestamp_ms": i, "content": f"c{i}"} for i in range(20)]})
+    (tmp_path / "i.json").write_text(ig)
+    assert rows(read_large(spark, str(tmp_path / "i*.json"), "ig"), "content") == rows(parse_strings(spark, ig, "ig"), "content")
+    text = "lost\n" + WA_US + "\n" + "\n".join(f"[1/15/24, 10:40:{i % 60:02d} AM] Al: line {i}\r\nmore {i}" for i in range(n))
+    (tmp_path / "w.txt").write_text(text, newline="")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        large = rows(read_large(spark, str(tmp_path / "w.txt"), "wa"), "sender", "content", "time")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert large == rows(read_chat(spark, str(tmp_path / "w.txt"), "wa"), "sender", "content", "time") and len(large) == n + 5
+    assert not create_source("wa").supports_streaming and create_source("tg").stream_file(spark, str(tmp_path / "t.json")).count() == n
