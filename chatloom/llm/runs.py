@@ -194,12 +194,12 @@ def _segments(near_cost: float, penalty: float):
     return run
 
 
-def collapse_runs(messages: DataFrame, near_cost: float = 0.5, penalty: float = 1.0, bucket: int = BUCKET) -> DataFrame:
+def collapse_runs(messages: DataFrame, near_cost: float = 0.5, penalty: float = 1.0, bucket: int = BUCKET, exact: bool = False) -> DataFrame:
     """``chat_id, sender, first_seq, last_seq, content, n_events, start, end, duration_us``: one row per run.
 
     Neighbours are messages next to each other in ``seq`` within a chat, each ``seq`` counted once (the least
     edited copy, of these the first delivered) and missing numbers ignored; ``content`` is the first one's. A message that repeats nothing is a run of one.
-    With a *penalty* above *near_cost* messages of the same words are never parted; below, runs whose forms differ much
+    With *exact* contents are their own forms, so that only equal ones run. With a *penalty* above *near_cost* messages of the same words are never parted; below, runs whose forms differ much
     are.
 
     Chats are cut into buckets of *bucket* sequence numbers (places in the chat), so the largest chat is spread over
@@ -214,7 +214,8 @@ def collapse_runs(messages: DataFrame, near_cost: float = 0.5, penalty: float =
     m = messages.where(F.col("chat_id").isNotNull() & F.col("seq").isNotNull()).select(
         "chat_id", "seq", "sender", "content", F.unix_micros("timestamp").alias("us"), "edited", "batch_no", "row_id", F.floor(F.col("seq") / bucket).alias("__b")
     )
-    m = m.withColumn("__w", words_of(F.col("content"))).repartition("chat_id", "__b")
+    form = F.concat(F.lit("\u0001"), F.coalesce("content", F.lit(""))) if exact else words_of(F.col("content"))
+    m = m.withColumn("__w", form).repartition("chat_id", "__b")
     copy = W.partitionBy("chat_id", "__b", "seq").orderBy(F.col("edited").asc_nulls_first(), "batch_no", "row_id")
     m = m.withColumn("__copy", F.row_number().over(copy)).where("__copy = 1").drop("__copy", "edited", "batch_no", "row_id")
     # What parts messages whatever their forms: the sender, the number of words, the numbers among them.

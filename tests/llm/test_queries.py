@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from chatloom.llm.queries import QUERIES
+from chatloom.llm.queries import ORACLE_SQL, QUERIES
 
 BASE = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(BASE), reason="no test tables here")
@@ -24,6 +24,23 @@ def test_query(spark, name):
     assert df.count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_agrees_with_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    for f in os.listdir(BASE):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM read_parquet('{BASE}/{f}')")
+    df = QUERIES[name](spark, BASE)
+    columns = sorted(df.columns)
+    plain = lambda x: round(float(x), 5) if isinstance(x, float) or type(x).__name__ == "Decimal" else x
+    got = sorted(repr(tuple(plain(r[c]) for c in columns)) for r in df.collect())
+    cursor = con.execute(ORACLE_SQL[name])
+    names = [x[0] for x in cursor.description]
+    assert sorted(names) == columns
+    assert got == sorted(repr(tuple(plain(r[names.index(c)]) for c in columns)) for r in cursor.fetchall())
+
+
 def test_types_agree_with_the_labels(spark):
     got = QUERIES["p10_types"](spark, BASE).select("doc_id", "kind")
     labels = spark.read.parquet(f"{BASE}/doc_labels.parquet").withColumnRenamed("kind", "label").where("label IS NOT NULL")
