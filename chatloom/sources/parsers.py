@@ -15,7 +15,6 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chatloom.config import CONFIGS, DiscordConfig, InstagramConfig, Platform, TelegramConfig, WhatsAppConfig
@@ -116,14 +115,57 @@ def _malformed(platform: str) -> Column:
     return F.raise_error(F.concat(F.lit(f"{platform}: a malformed record in "), "chat_id"))
 
 
+# What a document must look like somewhere for a field of it to have a wrong JSON type: a name and behind it a value of
+# another kind. (It may stand in a text or deeper down; the records then tell.)
+_SUSPECT = {
+    "Telegram": r'"(?:type|from|date_unixtime|edited_unixtime)"\s*:\s*[^"\sn]|"(?:id|reply_to_message_id)"\s*:\s*(?:[^0-9\sn]|[0-9]+[.eE])',
+    "Instagram": r'"(?:sender_name|content|share_text|link)"\s*:\s*[^"\sn]|"timestamp_ms"\s*:\s*(?:[^0-9\s-]|-?[0-9]+[.eE])',
+    "Discord": r'"(?:id|timestamp|timestampEdited|content|name|nickname|messageId)"\s*:\s*[^"\sn]',
+}
+_PLAIN = {"Telegram": TELEGRAM_RECORD, "Instagram": INSTAGRAM_RECORD, "Discord": DISCORD_RECORD}
+# Fields without which a record of text where text must be is malformed.
+_REQUIRED = {
+    "Telegram": lambda r: r["type"].isNotNull(),
+    "Instagram": lambda r: r["sender_name"].isNotNull() & r["timestamp_ms"].isNotNull(),
+    "Discord": lambda r: r["id"].isNotNull() & r["timestamp"].isNotNull() & r["content"].isNotNull() & r["author"]["name"].isNotNull(),
+}
+
+
+def _same_fields(platform: str, r: Column) -> Column:
+    """A record with the fields that a checked one has, in their order."""
+    if platform == "Telegram":
+        return F.struct(*[r[k].alias(k) for k in [*STRICT[platform], "text"]])
+    if platform == "Instagram":
+        share = F.struct(r["share"]["share_text"].alias("share_text"), r["share"]["link"].alias("link")).alias("share")
+        return F.struct(*[r[k].alias(k) for k in ("sender_name", "timestamp_ms", "content")], share)
+    author = F.struct(r["author"]["name"].alias("name"), r["author"]["nickname"].alias("nickname")).alias("author")
+    reference = F.struct(r["reference"]["messageId"].alias("messageId")).alias("reference")
+    return F.struct(*[r[k].alias(k) for k in ("id", "timestamp", "timestampEdited", "content")], author, reference, r["attachments"].alias("attachments"), r["stickers"].alias("stickers"))
+
+
 def _records(df: DataFrame, platform: str, on_error: str, largest: int | None = None) -> DataFrame:
     """``chat_id, pos, n, r``: the elements of ``messages``.
 
-    To fail, the document is parsed once, as a whole. To skip, it is parsed to the texts of its elements and each of
-    them on its own, so one bad record hurts no other and its size can be limited.
+    Documents in which some value could be of a wrong type have the types of all their records looked at; the others,
+    which one pass of a pattern tells, are read straight to their fields.
     """
+    suspect = F.coalesce(F.col("raw").rlike(_SUSPECT[platform]), F.lit(False))
+    plain = _elements(df.where(~suspect), platform, _PLAIN[platform], on_error, largest)
+    if on_error == "skip":
+        plain = plain.withColumn("r", F.from_json("r", _PLAIN[platform]))
+    whole = F.col("r").isNotNull() & F.coalesce(_REQUIRED[platform](F.col("r")), F.lit(False))
+    if on_error == "fail":
+        plain = plain.withColumn("r", F.when(whole, _same_fields(platform, F.col("r"))).otherwise(_malformed(platform)))
+    else:
+        plain = plain.where(whole).withColumn("r", _same_fields(platform, F.col("r")))
+    strict = checked_records(_elements(df.where(suspect), platform, _STRICT[platform][0], on_error, largest), platform, on_error)
+    return plain.unionByName(strict)
+
+
+def _elements(df: DataFrame, platform: str, schema: str, on_error: str, largest: int | None) -> DataFrame:
+    """To fail, the document is parsed once, as a whole. To skip, it is parsed to the texts of its elements and each of
+    them on its own, so one bad record hurts no other and its size can be limited."""
     fail = on_error == "fail"
-    schema, check, plain = _STRICT[platform]
     d = df.select("chat_id", F.from_json("raw", f"messages ARRAY<{schema if fail else 'STRING'}>")["messages"].alias("items"))
     if fail:
         bad = F.raise_error(F.concat(F.lit(f"{platform}: no valid document with messages in "), "chat_id"))
@@ -131,15 +173,13 @@ def _records(df: DataFrame, platform: str, on_error: str, largest: int | None =
     # The outer form, as Spark would move a test of what the inner one explodes in front of other filters. The size is
     # taken before: after it, every element's row would carry the whole array.
     d = d.withColumn("n", F.size("items")).select("chat_id", "n", F.posexplode_outer("items").alias("pos", "r")).where(F.col("pos").isNotNull())
-    return checked_records(d, platform, on_error, largest)
+    return d.where(F.octet_length("r") <= largest) if largest is not None and not fail else d
 
 
-def checked_records(d: DataFrame, platform: str, on_error: str, largest: int | None = None) -> DataFrame:
+def checked_records(d: DataFrame, platform: str, on_error: str) -> DataFrame:
     """Records as structs; in ``skip`` they come as JSON texts."""
     schema, check, plain = _STRICT[platform]
     if on_error == "skip":
-        if largest is not None:
-            d = d.where(F.octet_length("r") <= largest)
         d = d.withColumn("r", F.from_json("r", schema))
     whole = F.col("r").isNotNull() & F.coalesce(check(F.col("r")), F.lit(False))
     if on_error == "fail":
@@ -251,22 +291,6 @@ def _whatsapp_stamp(date: Column, time: Column, form: Column) -> Column:
     return F.when(known, stamp)
 
 
-def _head_format(raw: Column, disambiguate_slash: bool) -> Column:
-    """The format of a document's first lines, inside its row; see :func:`whatsapp_format`."""
-    head = F.slice(F.split(F.regexp_extract(raw, r"^(?:[^\n]*+\n?){0,20}", 0), "\n"), 1, SAMPLE_LINES)
-    votes = {k: F.size(F.filter(head, _like(p))) for k, p in WHATSAPP_FORMATS.items()}
-    top = F.greatest(*votes.values())
-    pick = reduce(lambda c, k: c.when(votes[k] == top, k), WHATSAPP_FORMATS, F.when(top == 0, F.lit(None).cast("string")))
-    if disambiguate_slash:
-        day = F.exists(head, lambda x: F.coalesce(F.regexp_extract(x, r"^\[(\d{1,2})/", 1).try_cast("int") > 12, F.lit(False)))
-        pick = F.when((top > 0) & (votes["EuSlashBracketed"] == top) & day, "EuSlashBracketed").otherwise(pick)
-    return pick
-
-
-def _like(pattern: str):
-    return lambda x: x.rlike(pattern)
-
-
 def _unix_lines(raw: Column) -> Column:
     return F.when(raw.contains("\r\n"), F.replace(raw, F.lit("\r\n"), F.lit("\n"))).otherwise(raw)
 
@@ -286,40 +310,8 @@ def parse_whatsapp(df: DataFrame, config: WhatsAppConfig = WhatsAppConfig(), on_
     Eager: notices are told by the header line and skipped, after which lines go on with the earlier message; blank
     contents stay. Streaming: lines after a notice go with it, notices are told by the whole text, contents are
     trimmed and blank ones dropped. A document in which no line has a known format fails (or, skipped, has no messages).
-    A document is cut at its header lines inside its row, without a shuffle; the header lines of notices are taken out
-    of it first, so that what follows them stands behind the message before.
     """
-    stream = profile == "streaming"
-    d = df.select("chat_id", _unix_lines(F.col("raw")).alias("raw"))
-    d = d.withColumn("format", _head_format(F.col("raw"), config.disambiguate_slash))
-    if _policy(on_error, profile) == "fail":
-        bad = F.raise_error(F.concat(F.lit("WhatsApp: unknown format of the export "), "chat_id"))
-        d = d.withColumn("format", F.when(F.col("format").isNotNull() | F.col("raw").isNull() | (F.col("raw") == ""), F.col("format")).otherwise(bad.cast("string")))
-    inside = lambda p: p.replace("[^:]", r"[^:\n]").replace(r"\s", r"[\s&&[^\n]]")
-    # In a document, white space and senders end with their line.
-    cut = lambda p: "(?m)" + p[:5] + "^(?=" + inside(p)[6:].removesuffix(r":[\s&&[^\n]]?(.*)") + ":)"
-    d = d.where(F.col("format").isNotNull()).withColumn("raw", _by_format(lambda p: F.regexp_replace("raw", cut(p), _MARK)))
-    parts = lambda x: _by_format(lambda p: F.regexp_replace(_first_line(x), p + "$", f"{_PART}$1{_PART}$2{_PART}$3{_PART}$4"))
-    if config.skip_system_messages and not stream:
-
-        def kept(x: Column) -> Column:
-            h = F.split(parts(x), _PART)
-            return F.when(X.is_notice(X.trim_all(F.get(h, F.lit(3))), F.get(h, F.lit(4))), F.coalesce(_other_lines(x).substr(F.lit(2), F.length(x)), F.lit(""))).otherwise(F.concat(F.lit(_MARK), x))
-
-        pieces = F.split("raw", _MARK)
-        d = d.withColumn("raw", F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), kept), ""))
-    d = d.select("chat_id", "format", F.posexplode(F.split("raw", _MARK)).alias("pos", "x")).where(F.col("pos") > 0)
-    d = d.withColumn("h", F.split(parts(F.col("x")), _PART)).withColumn("more", _other_lines(F.col("x")))
-    # Blank lines go; in streams, lines lose the white space at their ends.
-    more = F.regexp_replace("more", r"(?U)\n\s*(?=\n|\z)", "")
-    if stream:
-        more = F.regexp_replace(more, r"(?U)[\s&&[^\n]]+(?=\n|\z)", "")
-    content = F.when(F.col("more").isNull(), F.get("h", F.lit(4))).otherwise(F.concat(F.get("h", F.lit(4)), more))
-    content = X.trim_all(content) if stream else content
-    d = d.select("chat_id", F.col("pos").alias("seq"), X.trim_all(F.get("h", F.lit(3))).alias("sender"), content.alias("content"), _whatsapp_stamp(F.get("h", F.lit(1)), F.get("h", F.lit(2)), F.col("format")).alias("timestamp"))
-    if stream:
-        d = d.where(X.not_blank(F.col("content")) & ~X.is_notice(F.col("sender"), F.col("content")))
-    return _messages(d, message(F.col("sender"), F.col("content"), F.col("timestamp")), F.col("seq"))
+    return parse_whatsapp_lines(_lines(df), config, on_error, profile)
 
 
 def parse_whatsapp_lines(lines: DataFrame, config: WhatsAppConfig = WhatsAppConfig(), on_error: str | None = None, profile: str = "eager") -> DataFrame:
@@ -439,34 +431,13 @@ def discord_kind(raw: Column, path: Column | None = None) -> Column:
 def parse_discord(df: DataFrame, config: DiscordConfig = DiscordConfig(), on_error: str | None = None, profile: str = "eager") -> DataFrame:
     """Documents of any of Discord's formats; a column ``path``, where there is one, tells by its extension.
 
-    The documents are read once: each is one of three arrays, and what a record is decides how it is read.
+    Each form has a parser of its own over its documents: one plan for all of them would be too long to be compiled, and
+    takes several times as long as three reads.
     """
-    stream, policy = profile == "streaming", _policy(on_error, profile)
-    fail = policy == "fail"
-    schema, check, plain = _STRICT["Discord"]
-    d = df.select("chat_id", "raw", discord_kind(F.col("raw"), F.col("path") if "path" in df.columns else None).alias("kind"))
-    records = F.from_json(F.when(F.col("kind") == "json", F.col("raw")), f"messages ARRAY<{schema if fail else 'STRING'}>")["messages"]
-    if fail:
-        bad = F.raise_error(F.concat(F.lit("Discord: no valid document with messages in "), "chat_id"))
-        records = F.when((F.col("kind") != "json") | records.isNotNull(), records).otherwise(bad)
-    rows = F.pandas_udf(_csv_rows, _CSV_ROWS)(F.when(F.col("kind") == "csv", F.col("raw")))
-    d = d.select("chat_id", "kind", records.alias("j"), rows.alias("c"), F.when(F.col("kind") == "txt", _txt_pieces(F.col("raw"))).alias("t"))
-    d = d.select("chat_id", "kind", "c", "t", F.posexplode_outer("j").alias("jp", "r"))
-    d = d.select("chat_id", "kind", "t", "jp", "r", F.posexplode_outer("c").alias("cp", "c"))
-    d = d.select("chat_id", "kind", "jp", "r", "cp", "c", F.posexplode_outer("t").alias("tp", "x"))
-    d = d.where(F.col("jp").isNotNull() | F.col("cp").isNotNull() | (F.col("tp") > 0))
-    if not fail:
-        if stream:
-            d = d.where((F.col("kind") != "json") | (F.octet_length("r") <= config.max_message_size))
-        d = d.withColumn("r", F.from_json("r", schema))
-    whole = F.col("r").isNotNull() & F.coalesce(check(F.col("r")), F.lit(False))
-    if fail:
-        d = d.withColumn("r", F.when(F.col("kind") != "json", None).when(whole, plain(F.col("r"))).otherwise(_malformed("Discord")))
-    else:
-        d = d.withColumn("r", F.when(whole, plain(F.col("r"))))
-    m = F.when(F.col("kind") == "json", F.when(F.col("r").isNotNull(), discord_message(F.col("r"), config, "json" if stream else None)))
-    m = m.when(F.col("kind") == "csv", _csv_message(F.col("c"))).otherwise(_txt_message(F.col("x")))
-    return _messages(d, m, F.coalesce("jp", "cp", "tp"))
+    d = df.select("chat_id", "raw", discord_kind(F.col("raw"), F.col("path") if "path" in df.columns else None).alias("__kind"))
+    part = lambda k: d.where(F.col("__kind") == k)
+    out = parse_discord_json(part("json"), config, on_error, profile)
+    return out.unionByName(parse_discord_txt(part("txt"))).unionByName(parse_discord_csv(part("csv")))
 
 
 PARSERS = {Platform.TELEGRAM: parse_telegram, Platform.WHATSAPP: parse_whatsapp, Platform.INSTAGRAM: parse_instagram, Platform.DISCORD: parse_discord}
