@@ -166,16 +166,18 @@ def _cuts(v: np.ndarray, y: np.ndarray, depth: int, least: int) -> list[float]:
     return [*_cuts(v[v <= at], y[v <= at], depth - 1, least), at, *_cuts(v[v > at], y[v > at], depth - 1, least)]
 
 
-def find_thresholds(stats: DataFrame, labels: DataFrame, most: int = MOST_LABELS, depth: int = 4, least: int = 8) -> Thresholds:
+def find_thresholds(stats: DataFrame, labels: DataFrame, most: int = MOST_LABELS, depth: int = 4, least: int | None = None) -> Thresholds:
     """Thresholds of each statistic by itself, from at most *most* labelled documents (``doc_id, kind``).
 
     Of more labels those with the smallest hash of their key are read. Labels of unknown kinds or documents are left out;
-    of a document labelled twice the first kind in the alphabet counts.
+    of a document labelled twice the first kind in the alphabet counts. A range holds *least* labelled documents or more:
+    8, or one in 25 of a sample of fewer than 200.
     """
     known = labels.where(F.col("kind").isin(KINDS) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("kind").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = stats.join(F.broadcast(known), "doc_id").select("label", *STATISTICS).toPandas()  # at most *most* rows
     y = np.array([KINDS.index(k) for k in rows["label"]], dtype=np.int64)
+    least = least or max(1, min(8, len(y) // 25))
     cuts, counts = {}, {}
     for c in STATISTICS:
         v = rows[c].astype(float).fillna(0.0).to_numpy()
