@@ -6,6 +6,9 @@ a aggregation, c chunk, t stream.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -602,8 +605,13 @@ def x_model_json(spark: SparkSession, d: str) -> DataFrame:
     return _ids(from_model_json(to_model_json(m)).withColumnRenamed("seq", "row_id").drop("chat_id"))
 
 
-def _string(spark: SparkSession, text: str) -> DataFrame:
-    return spark.createDataFrame([(text,)], "s string").select(F.md5("s").alias("md5"), F.length("s").cast("bigint").alias("n"))
+def _string(spark: SparkSession, pieces: Iterable[str]) -> DataFrame:
+    """The digest and length of a string on the driver, which as a row may be larger than what a task can be sent."""
+    digest, n = hashlib.md5(usedforsecurity=False), 0
+    for x in pieces:
+        digest.update(x.encode())
+        n += len(x)
+    return spark.createDataFrame([(digest.hexdigest(), n)], "md5 string, n bigint")
 
 
 _LINE = _Q.format("sender") + " || ';' || " + _Q.format("content")
@@ -611,7 +619,7 @@ _LINE = _Q.format("sender") + " || ';' || " + _Q.format("content")
 
 @_query(f"SELECT md5(t) AS md5, CAST(length(t) AS BIGINT) AS n FROM (SELECT 'Sender;Content' || chr(10) || STRING_AGG({_LINE} || chr(10), '' ORDER BY chat_id, seq) AS t FROM {_EVENTS})")
 def k_csv_string(spark: SparkSession, d: str) -> DataFrame:
-    return _string(spark, K.to_format_string(_events(spark, d), "csv"))
+    return _string(spark, K.format_pieces(_events(spark, d), "csv"))
 
 
 _ONE = "'{{\"sender\":' || CAST(to_json(sender) AS VARCHAR) || ',\"content\":' || CAST(to_json(content) AS VARCHAR) || '}}'"
@@ -619,7 +627,7 @@ _ONE = "'{{\"sender\":' || CAST(to_json(sender) AS VARCHAR) || ',\"content\":' |
 
 @_query("SELECT md5(t) AS md5, CAST(length(t) AS BIGINT) AS n FROM (SELECT STRING_AGG(" + _ONE.replace("{{", "{").replace("}}", "}") + f" || chr(10), '' ORDER BY chat_id, seq) AS t FROM {_EVENTS})")
 def k_jsonl_string(spark: SparkSession, d: str) -> DataFrame:
-    return _string(spark, K.to_format_string(_events(spark, d), "ndjson"))
+    return spark.createDataFrame([(K.to_format_string(_events(spark, d), "ndjson"),)], "s string").select(F.md5("s").alias("md5"), F.length("s").cast("bigint").alias("n"))
 
 
 @_query(
@@ -627,7 +635,7 @@ def k_jsonl_string(spark: SparkSession, d: str) -> DataFrame:
     + _EVENTS + ")"
 )
 def k_json_string(spark: SparkSession, d: str) -> DataFrame:
-    return _string(spark, K.to_format_string(_events(spark, d), "json"))
+    return _string(spark, K.format_pieces(_events(spark, d), "json"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

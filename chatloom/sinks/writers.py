@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +13,10 @@ from chatloom.config import OutputConfig, OutputFormat
 from chatloom.errors import InputOutputError, typed_errors
 from chatloom.functions.text import stamp_text
 
-__all__ = ["csv_header", "csv_lines", "json_objects", "jsonl_lines", "to_csv", "to_json", "to_jsonl", "to_format_string", "write_single", "write_dir"]
+__all__ = ["csv_header", "csv_lines", "json_objects", "jsonl_lines", "format_pieces", "to_csv", "to_json", "to_jsonl", "to_format_string", "write_single", "write_dir"]
+
+#: Bytes of lines put together in one string on their way to the driver.
+_BLOCK_BYTES = 1 << 20
 
 
 def _fields(config: OutputConfig) -> list[tuple[str, Column]]:
@@ -83,26 +90,59 @@ def jsonl_lines(df: DataFrame, config: OutputConfig = OutputConfig()) -> DataFra
     return json_objects(df, config)
 
 
-def _ordered(lines: DataFrame) -> list[str]:
-    """All lines on the driver, which a string or a single file needs anyway; in the order of chats and places."""
+def _blocks(between: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lines in Arrow batches become strings of at most so many bytes, or of one line, put together where they are."""
+
+    def parts(lines):
+        if len(lines) > 1 and lines.nbytes > most:
+            half = len(lines) // 2
+            yield from parts(lines.slice(0, half))
+            yield from parts(lines.slice(half))
+        elif len(lines):
+            yield lines
+
+    def run(batches):
+        for b in batches:
+            for lines in parts(b.column(0)):
+                whole = pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines)
+                yield pa.RecordBatch.from_arrays([pc.binary_join(whole, pa.scalar(between, lines.type))], ["block"])
+
+    return run
+
+
+def format_pieces(df: DataFrame, form: OutputFormat | str, config: OutputConfig = OutputConfig()) -> Iterator[str]:
+    """The whole string in pieces of many messages, in the order of chats and places.
+
+    The driver holds two partitions at once, so that what reads the pieces one by one needs no room for all.
+    """
+    f = OutputFormat.from_name(form)
+    array = f is OutputFormat.JSON
+    between = ",\n" if array else "\n"
+    lines = csv_lines(df, config) if f is OutputFormat.CSV else json_objects(df, config, pretty=array)
+    if f is OutputFormat.CSV:
+        yield csv_header(config) + "\n"
+    some = False
     with typed_errors():
-        return [r["line"] for r in lines.orderBy("chat_id", "seq").toLocalIterator()]
+        for r in lines.orderBy("chat_id", "seq").select("line").mapInArrow(_blocks(between, _BLOCK_BYTES), "block string").toLocalIterator(prefetchPartitions=True):
+            yield (between if some else "[\n") + r[0] if array else r[0] + between
+            some = True
+    if array:
+        yield "\n]" if some else "[]"
 
 
 def to_csv(df: DataFrame, config: OutputConfig = OutputConfig()) -> str:
     """The whole as one string; of no messages, the header."""
-    return "".join(x + "\n" for x in [csv_header(config), *_ordered(csv_lines(df, config))])
+    return "".join(format_pieces(df, OutputFormat.CSV, config))
 
 
 def to_json(df: DataFrame, config: OutputConfig = OutputConfig()) -> str:
     """One array; of no messages ``[]``."""
-    rows = _ordered(json_objects(df, config, pretty=True))
-    return "[\n" + ",\n".join(rows) + "\n]" if rows else "[]"
+    return "".join(format_pieces(df, OutputFormat.JSON, config))
 
 
 def to_jsonl(df: DataFrame, config: OutputConfig = OutputConfig()) -> str:
     """An object per line, each with its line end; of no messages an empty string."""
-    return "".join(x + "\n" for x in _ordered(jsonl_lines(df, config)))
+    return "".join(format_pieces(df, OutputFormat.JSONL, config))
 
 
 _STRINGS = {OutputFormat.CSV: to_csv, OutputFormat.JSON: to_json, OutputFormat.JSONL: to_jsonl}

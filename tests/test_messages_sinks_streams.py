@@ -135,6 +135,19 @@ def test_strings(spark):
     assert project(m, OutputConfig().with_ids()).columns == ["sender", "content", "id"]
 
 
+def test_strings_come_in_blocks(spark, monkeypatch):
+    """Messages reach the driver many at a time, and the borders of blocks don't show."""
+    texts = ["x", 'q";\n', "é\U0001f600", "", "y" * 400]
+    m = from_rows(spark, [{"sender": str(i), "content": texts[i % 5]} for i in range(20000)]).repartition(7)
+    kind, rows = type(m), []
+    real = kind.toLocalIterator
+    monkeypatch.setattr(kind, "toLocalIterator", lambda self, *a, **k: (rows.append(r) or r for r in real(self, *a, **k)))
+    want = [{"sender": str(i), "content": texts[i % 5]} for i in range(20000)]
+    assert to_json(m) == json.dumps(want, indent=2, ensure_ascii=False)
+    assert to_jsonl(m) == "".join(json.dumps(x, ensure_ascii=False, separators=(",", ":")) + "\n" for x in want)
+    assert 2 < len(rows) < 200
+
+
 def test_files(spark, tmp_path):
     m = sample(spark)
     for name, text in (("a.csv", to_csv(m)), ("a.json", to_json(m)), ("a.jsonl", to_jsonl(m))):
