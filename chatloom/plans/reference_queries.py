@@ -627,7 +627,7 @@ _ONE = "'{{\"sender\":' || CAST(to_json(sender) AS VARCHAR) || ',\"content\":' |
 
 @_query("SELECT md5(t) AS md5, CAST(length(t) AS BIGINT) AS n FROM (SELECT STRING_AGG(" + _ONE.replace("{{", "{").replace("}}", "}") + f" || chr(10), '' ORDER BY chat_id, seq) AS t FROM {_EVENTS})")
 def k_jsonl_string(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(K.to_format_string(_events(spark, d), "ndjson"),)], "s string").select(F.md5("s").alias("md5"), F.length("s").cast("bigint").alias("n"))
+    return _string(spark, K.format_pieces(_events(spark, d), "ndjson"))
 
 
 @_query(

@@ -54,7 +54,7 @@ def test_query_agrees_with_sql(spark, duck, name):
     assert got == sorted(repr(tuple(str(plain(r[i])) for i in at)) for r in cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", ["k_csv_string", "k_json_string"])
+@pytest.mark.parametrize("name", ["k_csv_string", "k_jsonl_string", "k_json_string"])
 def test_strings_are_not_sent_to_tasks(spark, monkeypatch, name):
     """What the driver makes a table of goes to a task, which takes no more than spark.rpc.message.maxSize."""
     sent, kind = [], type(spark)
